@@ -93,7 +93,9 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Kept documents with their failed lines removed, in the columns of ``docs`` (n_chars, if there, follows the text)."""
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return assess(docs).where("kept").select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    row = F.struct(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in docs.columns])
+    # a filter on ``kept`` would be pushed down with all its array expressions written out again; a generator is not
+    return assess(docs).select(F.explode_outer(F.when(F.col("kept"), F.array(row))).alias("row")).where("row is not null").select("row.*")
 
 
 ORACLE = r"""
