@@ -34,7 +34,7 @@ MARK = "▁"
 #: Score of a byte piece: below all pieces of the vocabulary.
 BYTE_PENALTY = -1e6
 #: Distinct words whose ids a worker remembers; beyond it, it forgets them all.
-MEMORY = 800_000
+MEMORY = 500_000
 _SPACED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -167,8 +167,8 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         p = pieces(model)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 ids = [np.frombuffer(x, p.dtype) for x in p.encode([t or "" for t in part.column(1).to_pylist()])]
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32))
@@ -195,8 +195,8 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         p = pieces(model)
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows = []
                 for t, x in zip(texts, p.encode(texts)):

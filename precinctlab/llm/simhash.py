@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, parallelism
+from .common import connected_components, cut, parallelism, slices
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(shingle_hashes(t, width, seed)) for t in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2) -> DataFra
 
 
 def _verified(batches, width: int, similarity: float):
-    for b in batches:
+    for b in slices(batches, 64):
         keep = []
         for ta, tb in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             x, y = set(shingle_hashes(ta, width)), set(shingle_hashes(tb, width))

@@ -37,15 +37,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism
+from .common import parallelism, slices
 
 LENGTH = 200
 SEED = 100
 #: Starts of SEED-byte strings in a window.
 REACH = LENGTH - SEED + 1
 WIDTH = 8 + LENGTH + REACH - 1
-CHUNK = 1 << 21
-RUN = 100_000
+CHUNK = 1 << 19
+RUN = 30_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -117,14 +117,14 @@ def _chunks(column, limit: int = CHUNK):
 
 
 def _count(batches):
-    for b in batches:
+    for b in slices(batches):
         for _, texts in _chunks(b.column(0)):
             h, n = np.unique(anchors(texts)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
 
 def _places(batches):
-    for b in batches:
+    for b in slices(batches):
         k1, k2 = b.column(0).to_numpy(), b.column(1).to_numpy()
         for at, texts in _chunks(b.column(2)):
             doc, place, h, near, far = anchors(texts)
@@ -253,7 +253,7 @@ def _runs(parts: int):
     def run(batches):
         rows, payload, held = [], [], 0
         around = np.r_[np.arange(LENGTH), -np.arange(1, REACH)]
-        for b in batches:
+        for b in slices(batches, 32):
             for k1, k2, n, text, found in zip(*(b.column(i).to_pylist() for i in range(5))):
                 t = np.full(len(text) + LENGTH + REACH, 0xFF, dtype=np.uint8)  # no UTF-8 text holds this byte
                 t[REACH : REACH + len(text)] = np.frombuffer(text, np.uint8)
@@ -316,7 +316,7 @@ def repeated_spans(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut_texts(batches):
-    for b in batches:
+    for b in slices(batches):
         out = []
         for k1, k2, n, text, spans in zip(*(b.column(i).to_pylist() for i in range(5))):
             text, merged = text or b"", []

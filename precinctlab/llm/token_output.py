@@ -40,7 +40,7 @@ BLOCK = 1 << 14
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 #: Distinct chunks whose ids a worker remembers; beyond it, it forgets them all.
-MEMORY = 800_000
+MEMORY = 500_000
 
 
 def _planes(block: np.ndarray, bit: bool) -> list[bytes]:
@@ -169,9 +169,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         held = 0
         for b in batches:
             keys = b.column(0).to_pylist()
-            for at in range(0, len(keys), 1024):
-                texts = [x or "" for x in b.column(1).slice(at, 1024).to_pylist()]
-                for k, data in zip(keys[at : at + 1024], encoder(tokenizer).encode(texts)):
+            for at in range(0, len(keys), 512):
+                texts = [x or "" for x in b.column(1).slice(at, 512).to_pylist()]
+                for k, data in zip(keys[at : at + 512], encoder(tokenizer).encode(texts)):
                     doc_ids.append(k)
                     lengths.append(len(data) // 4 + 1)
                     ids += [data, end]

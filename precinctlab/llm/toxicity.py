@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
 from .simhash import LOWER
 
 SAMPLE = 12_000
@@ -39,7 +40,7 @@ IDENTITY = (
     ("disabled", "blind", "deaf", "elderly", "young"),
 )
 _EDGE = b".,;:!?\"'()[]{}<>*#$%&|-_"
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
 def features(word: bytes) -> tuple[int, ...]:
@@ -63,7 +64,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[int,
     rows = docs.join(mark, F.col("doc_id") == F.col("_d")).select("toxic", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             packed = [np.array([f for w in sorted(words(t)) for f in features(w)], "<u4").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["toxic", "f"])
 
@@ -128,7 +129,7 @@ def score_documents(docs: DataFrame, weights: np.ndarray, bias: float, threshold
     def run(batches):
         w, b0 = shared.value
         known = _KNOWN.setdefault(id(shared.value), {})
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column(1).to_pylist():
                 if len(known) > MEMORY:
