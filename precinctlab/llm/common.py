@@ -16,6 +16,7 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,6 +30,13 @@ def n_words_of(text: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]+", "\u0001"), SPACE, "")).cast("long")
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches hold no more than ``rows`` rows in this session: texts are long, and an executor buffers whole batches off-heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the shared checkpoint folder; set only where the cluster names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 MARK = "▁"
 #: Score of a byte piece: below all pieces of the vocabulary.
 BYTE_PENALTY = -1e6
@@ -191,6 +193,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, model: str) -> DataFrame:
     """Per document: doc_id, n_words (marked words), n_ids, ids_crc32 (32-bit little-endian ids), decoded_sha256, exact."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         p = pieces(model)

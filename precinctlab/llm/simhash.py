@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, parallelism, slices
+from .common import connected_components, cut, parallelism, slices, text_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
@@ -56,6 +56,7 @@ def fingerprint(hashes: list[int]) -> int:
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slices
+from .common import parallelism, slices, text_batches
 
 LENGTH = 200
 SEED = 100
@@ -339,6 +339,7 @@ def _cut_texts(batches):
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of lo, hi in bytes)."""
     spark, n = docs.sparkSession, parallelism(docs.sparkSession)
+    text_batches(spark)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select("doc_id", text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
     name = f"distinct_texts_{uuid.uuid4().hex}"
