@@ -11,7 +11,8 @@ belong to a repeated window.
 2. Anchor hashes are counted, summed per task first, and single ones dropped.
 3. Each task sorts the suffixes at its anchors (hash, then the bytes after the
    anchor, then the bytes before it backwards) and front-codes them: a run.
-   Runs are exchanged by hash range.
+   Equal suffixes of a run are settled there, and one goes on.  Runs are
+   exchanged by hash range.
 4. A loser tree merges the runs.  It keeps, for each run's head, the length of
    the prefix shared with the last string put out and never compares that
    prefix again; the merged order comes with all common prefix lengths.
@@ -99,7 +100,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     last = np.r_[first[1:] - 1, len(a) - 1]
     a0 = a[first]
     doc = np.searchsorted(ends, a0, side="right")
-    return doc, a0 - (ends - sizes)[doc], h[a0], a0 - p[last], a0 - p[first]
+    kept = h[a0] * np.uint64(0xC2B2AE3D27D4EB4F)  # the least hashes lie close together; spread them over the range again
+    kept ^= kept >> np.uint64(31)
+    kept *= np.uint64(0x9FB21C651E98DF25)
+    return doc, a0 - (ends - sizes)[doc], kept, a0 - p[last], a0 - p[first]
 
 
 def _chunks(column, limit: int = CHUNK):
@@ -238,6 +242,20 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> tuple[list[tuple[in
     return order, lcps
 
 
+def _merged(k1, k2, lo, hi) -> np.ndarray:
+    """Rows (k1, k2, lo, hi), overlapping ones of a text merged."""
+    lo, hi = lo.astype(np.int64), hi.astype(np.int64)
+    o = np.lexsort((lo, k2, k1))
+    k1, k2, lo, hi = k1[o], k2[o], lo[o], hi[o]
+    other = np.r_[True, (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])][: len(lo)]
+    # texts are laid out one after the other, so that one running maximum serves all
+    shift = np.cumsum(other) << 40
+    reach = np.maximum.accumulate(hi + shift) if len(hi) else hi
+    start = np.flatnonzero(np.r_[True, (lo + shift)[1:] > reach[:-1]][: len(lo)])
+    end = np.r_[start[1:] - 1, len(lo) - 1][: len(start)]
+    return np.stack([k1[start], k2[start], lo[start], (reach - shift)[end]], axis=1).astype("<i8") if len(start) else np.zeros((0, 4), "<i8")
+
+
 def _runs(parts: int):
     """Sorted front-coded runs of the suffixes at the kept anchors, by hash range."""
 
@@ -245,10 +263,20 @@ def _runs(parts: int):
         x, p = np.concatenate(rows), np.concatenate(payload)
         o = _order(x)
         x, p = x[o], p[o]
+        # equal rows stand for each other's partner: all their windows repeat, and one of them goes on
+        new = _shared(x) < WIDTH
+        first = np.flatnonzero(new)
+        size = np.diff(np.r_[first, len(x)])
+        twice = np.repeat(size > 1, size) | (p["many"] > 0)
+        known = _merged(p["k1"][twice], p["k2"][twice], p["place"][twice] - p["far"][twice], p["place"][twice] - p["near"][twice] + LENGTH)
+        x, p = x[first], p[first]
+        p["many"] |= size > 1
         top = x[:, 0].astype(np.int64) * 65536 + x[:, 1].astype(np.int64) * 256 + x[:, 2]
         part = top * parts >> 24
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
-        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([front_code(x[a:z], p[a:z]) for a, z in zip(cuts, cuts[1:])], pa.binary())], names=["part", "run"])
+        runs = [front_code(x[a:z], p[a:z]) for a, z in zip(cuts, cuts[1:])]
+        shares = np.array_split(known, len(runs))
+        return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(runs, pa.binary()), pa.array([k.tobytes() for k in shares], pa.binary())], names=["part", "run", "known"])
 
     def run(batches):
         rows, payload, held = [], [], 0
@@ -312,7 +340,9 @@ def repeated_spans(frame: pd.DataFrame) -> pd.DataFrame:
         hit = rows[hit]
         least[hit], most[hit] = np.minimum(least[hit], d), np.maximum(most[hit], d)
     got = most >= 0
-    return pd.DataFrame({"k1": p["k1"][got], "k2": p["k2"][got], "lo": p["place"][got] - most[got], "hi": p["place"][got] - least[got] + LENGTH})
+    found = np.stack([p["k1"][got], p["k2"][got], p["place"][got] - most[got], p["place"][got] - least[got] + LENGTH], axis=1)
+    known = np.concatenate([np.frombuffer(k, "<i8").reshape(-1, 4) for k in frame["known"]])
+    return pd.DataFrame(_merged(*np.concatenate([found, known]).T), columns=["k1", "k2", "lo", "hi"])
 
 
 def _cut_texts(batches):
@@ -349,7 +379,7 @@ def repeated_substrings(docs: DataFrame) -> DataFrame:
     counted = texts.select("text").mapInArrow(_count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     places = texts.select("k1", "k2", "text").mapInArrow(_places, "k1 long, k2 long, h long, at long")
     kept = places.join(counted, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "at")).alias("found"))
-    runs = texts.join(kept, ["k1", "k2"]).select("k1", "k2", "n", "text", "found").mapInArrow(_runs(n), "part long, run binary")
+    runs = texts.join(kept, ["k1", "k2"]).select("k1", "k2", "n", "text", "found").mapInArrow(_runs(n), "part long, run binary, known binary")
     spans = runs.groupBy("part").applyInPandas(repeated_spans, "k1 long, k2 long, lo long, hi long")
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     result = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "n", "text", "spans")
