@@ -1,0 +1,180 @@
+"""Seeded kernels per chain, particle or region: tree cuts on a state's graph, in parallel across groups.
+
+A group holds one graph (a state has thousands of units); many chains, particles
+and regions are the parallel dimension.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geometry
+from .attributes import r6
+
+
+MOST_UNITS = 500_000
+
+
+def shape_scores(units: DataFrame) -> DataFrame:
+    """Area, perimeter, Polsby-Popper and Reock of a rectangle per unit."""
+    a, b = (F.col("idx") % 4 + 1).cast("double"), (F.col("idx") % 6 + 1).cast("double")
+    zero = F.lit(0.0)
+    ring = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((zero, zero), (a, zero), (a, b), (zero, b))])
+    u = units.select("geoid", ring.alias("ring"))
+    r = F.col("ring")
+    return u.select("geoid", r6(geometry.area(r)).alias("area"), r6(geometry.perimeter(r)).alias("perimeter"), r6(geometry.polsby_popper(r)).alias("polsby_popper"), r6(geometry.reock(r)).alias("reock"))
+
+
+def _random_tree(nodes: list[int], adj: dict[int, list[int]], rng) -> dict[int, int]:
+    """Parents of a uniform spanning tree by loop-erased walks; -1 at the root.  Unreached nodes are left out."""
+    inside = set(nodes)
+    root = nodes[int(rng.integers(len(nodes)))]
+    parent, seen = {root: -1}, {root}
+    reach, todo = {root}, [root]
+    while todo:
+        for y in adj[todo.pop()]:
+            if y in inside and y not in reach:
+                reach.add(y)
+                todo.append(y)
+    for n in nodes:
+        if n not in reach:
+            continue
+        step, x = {}, n
+        while x not in seen:
+            near = [y for y in adj[x] if y in inside]
+            step[x] = near[int(rng.integers(len(near)))]
+            x = step[x]
+        x = n
+        while x not in seen:
+            seen.add(x)
+            parent[x] = step[x]
+            x = step[x]
+    return parent
+
+
+def _cut(nodes: list[int], adj, pop, target: float, tolerance: float, rng, tries: int = 20) -> set[int] | None:
+    """A connected part with a population within the tolerance of the target, whose rest is connected too."""
+    total = sum(pop[n] for n in nodes)
+    for _ in range(tries):
+        parent = _random_tree(nodes, adj, rng)
+        if len(parent) < len(nodes):
+            return None
+        children: dict[int, list[int]] = {}
+        for n, p in parent.items():
+            children.setdefault(p, []).append(n)
+        order, todo = [], list(children[-1])
+        while todo:
+            order.append(todo.pop())
+            todo += children.get(order[-1], [])
+        below = dict(pop)
+        for n in reversed(order):
+            if parent[n] >= 0:
+                below[parent[n]] += below[n]
+        good = [(n, up) for n in order if parent[n] >= 0 for up, v in ((False, below[n]), (True, total - below[n])) if abs(v - target) <= tolerance * target]
+        if good:
+            n, up = good[int(rng.integers(len(good)))]
+            part, todo = set(), [n]
+            while todo:
+                x = todo.pop()
+                part.add(x)
+                todo += children.get(x, [])
+            return set(nodes) - part if up else part
+    return None
+
+
+def _graph(edges: DataFrame, units: DataFrame, plan: DataFrame | None = None):
+    """The graph as arrays for a broadcast: one state's units, checked to be ``MOST_UNITS`` at most."""
+    n = units.count()
+    if n > MOST_UNITS:
+        raise ValueError(f"{n} units in one graph; kernels take {MOST_UNITS} at most, split by state first")
+    u = units.select("geoid", "pop").orderBy("geoid").toPandas()
+    number = {g: i for i, g in enumerate(u["geoid"])}
+    e = edges.select("u", "v").toPandas()
+    adj: dict[int, list[int]] = {i: [] for i in range(len(u))}
+    for x, y in zip(e["u"].map(number), e["v"].map(number)):
+        adj[x].append(y)
+        adj[y].append(x)
+    adj = {k: sorted(v) for k, v in adj.items()}
+    start = None
+    if plan is not None:
+        p = plan.toPandas().set_index("geoid")["district"]
+        start = [int(p[g]) for g in u["geoid"]]
+    return list(u["geoid"]), adj, {i: max(1, int(x)) for i, x in enumerate(u["pop"])}, start
+
+
+def recom(spark: SparkSession, edges: DataFrame, units: DataFrame, plan: DataFrame, chains: int, steps: int, tolerance: float = 0.2, seed: int = 1) -> DataFrame:
+    """Recombination chains: chain, step, n_cut, max_deviation, accepted."""
+    shared = spark.sparkContext.broadcast(_graph(edges, units, plan))
+
+    def run(key, _):
+        ids, adj, pop, start = shared.value
+        label, rng = list(start), np.random.default_rng([seed, int(key[0])])
+        k = max(label)
+        ideal = sum(pop.values()) / k
+        rows = []
+        for step in range(1, steps + 1):
+            pairs = sorted({(min(label[x], label[y]), max(label[x], label[y])) for x in adj for y in adj[x] if label[x] != label[y]})
+            a, b = pairs[int(rng.integers(len(pairs)))]
+            nodes = [i for i, v in enumerate(label) if v in (a, b)]
+            part = _cut(nodes, adj, pop, sum(pop[n] for n in nodes) / 2, tolerance, rng)
+            if part is not None:
+                for n in nodes:
+                    label[n] = a if n in part else b
+            cut = sum(label[x] != label[y] for x in adj for y in adj[x]) // 2
+            sums = np.bincount(label, [pop[i] for i in range(len(label))], minlength=k + 1)[1:]
+            rows.append((key[0], step, cut, float(np.abs(sums - ideal).max() / ideal), part is not None))
+        return pd.DataFrame(rows, columns=["chain", "step", "n_cut", "max_deviation", "accepted"])
+
+    return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, "chain long, step long, n_cut long, max_deviation double, accepted boolean")
+
+
+def sequential_sample(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, particles: int, tolerance: float = 0.1, seed: int = 2) -> DataFrame:
+    """Sequential plans: particle, geoid, district; districts are cut off one by one; a particle that fails has district null."""
+    shared = spark.sparkContext.broadcast(_graph(edges, units))
+
+    def run(key, _):
+        ids, adj, pop, _start = shared.value
+        rng = np.random.default_rng([seed, int(key[0])])
+        left, label = list(range(len(ids))), [0] * len(ids)
+        for d in range(1, k):
+            part = _cut(left, adj, pop, sum(pop[n] for n in left) / (k - d + 1), tolerance, rng, 50)
+            if part is None:
+                label = [None] * len(ids)
+                break
+            for n in part:
+                label[n] = d
+            left = [n for n in left if n not in part]
+        label = [None if v is None else v or k for v in label]
+        return pd.DataFrame({"particle": key[0], "geoid": ids, "district": pd.array(label, dtype="Int32")})
+
+    return spark.range(particles).withColumnRenamed("id", "particle").groupBy("particle").applyInPandas(run, "particle long, geoid string, district int")
+
+
+def bisect(edges: DataFrame, units: DataFrame, k: int, tolerance: float = 0.05, seed: int = 3) -> DataFrame:
+    """Recursive bisection into k districts: geoid, district."""
+    spark = units.sparkSession
+    shared = spark.sparkContext.broadcast(_graph(edges, units))
+
+    def run(key, _):
+        ids, adj, pop, _start = shared.value
+        rng, label, todo, done = np.random.default_rng(seed), [0] * len(ids), [(list(range(len(ids))), k)], 0
+        while todo:
+            nodes, n = todo.pop(0)
+            if n == 1:
+                done += 1
+                for x in nodes:
+                    label[x] = done
+                continue
+            share, part, slack = n // 2, None, tolerance
+            while part is None and slack < 2:
+                part = _cut(nodes, adj, pop, sum(pop[x] for x in nodes) * share / n, slack, rng)
+                slack *= 2
+            if part is None:  # the graph is not connected here: an even cut of the nodes in order
+                part = set(nodes[: len(nodes) * share // n])
+            todo += [([x for x in nodes if x in part], share), ([x for x in nodes if x not in part], n - share)]
+        return pd.DataFrame({"geoid": ids, "district": np.array(label, dtype=np.int32)})
+
+    return spark.range(1).groupBy("id").applyInPandas(run, "geoid string, district int")
