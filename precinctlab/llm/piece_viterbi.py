@@ -36,7 +36,7 @@ MARK = "▁"
 #: Score of a byte piece: below all pieces of the vocabulary.
 BYTE_PENALTY = -1e6
 #: Distinct words whose ids a worker remembers; beyond it, it forgets them all.
-MEMORY = 500_000
+MEMORY = 1_200_000
 _SPACED = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 

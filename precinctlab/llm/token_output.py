@@ -40,7 +40,7 @@ BLOCK = 1 << 14
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 #: Distinct chunks whose ids a worker remembers; beyond it, it forgets them all.
-MEMORY = 500_000
+MEMORY = 1_200_000
 
 
 def _planes(block: np.ndarray, bit: bool) -> list[bytes]:
