@@ -15,6 +15,7 @@ columns and columns of ``labels`` of the same names are left aside.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -77,12 +78,13 @@ def held_out(doc_id):
 
 
 def fit(rows: list[tuple[int, bytes]], steps: int = 120, rate: float = 0.5, shrink: float = 2e-4, fairness: float = 5.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept by AdaGrad with soft thresholds over the whole sample."""
+    """Weights and intercept by AdaGrad with soft thresholds over the whole sample; ``shrink`` holds at ``SAMPLE`` rows and grows for fewer."""
     weights = np.zeros(DIM)
     if not rows:
         return weights, 0.0
     y = np.array([r[0] for r in rows], dtype=float)
     share = y.mean()
+    shrink *= math.sqrt(SAMPLE / len(y))  # the noise of a gradient falls with the root of the sample
     if share in (0.0, 1.0):
         return weights, 6.0 if share else -6.0
     lists = [np.frombuffer(r[1], "<u4") for r in rows]
