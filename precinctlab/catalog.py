@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from . import catalog_files
 from .operators import allocation, attributes, comparison, graph, kernels, partisan, series
 from .operators.attributes import r6
 from .plans import adapters as a
@@ -250,8 +251,8 @@ r AS (SELECT geoid, CAST(idx % 4 + 1 AS DOUBLE) AS a, CAST(idx % 6 + 1 AS DOUBLE
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return _QUERIES | catalog_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | catalog_files.SQL
