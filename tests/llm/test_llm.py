@@ -223,3 +223,29 @@ def test_toxicity(spark):
     assert sum(got[i].predicted == int(i % 4 == 0) for i in range(400) if got[i].held_out) >= 0.95 * sum(got[i].held_out for i in range(400))
     assert got[900].score == got[901].score and got[7].held_out == (zlib.crc32(b"7") % 3 == 1)
     assert "men are here" in toxicity.swap_identity("women are here")
+
+
+def edited(r, line, n):
+    x = list(line)
+    for _ in range(n):
+        i = r.randrange(len(x))
+        x[i : i + 1] = r.choice([[], [r.choice("abcd")], [x[i], r.choice("abcd")]])
+    return "".join(x)
+
+
+def test_edit_join_long_lines(spark):
+    r = random.Random(8)
+    lines = ["c" + "".join(r.choice("abcdefgh ") for _ in range(n)) + "c" for n in (75, 119, 160, 240, 350, 350, 700)]
+    lines += [edited(r, x[1:-1], n) for x in lines for n in (2, 3, len(x) // 30, len(x) // 20, len(x) // 12)]
+    far = "".join(r.choice("abcdefgh ") for _ in range(1600))
+    even = [far[: at * 20] + "".join("z" if i % 20 == 19 else c for i, c in enumerate(far))[at * 20 :] for at in (0, 40)]  # edits as far apart as can be
+    lines += [far + "e", *[x + "e" for x in even]]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    links = Counter()
+    for i, a in enumerate(lines):
+        for b in lines[:i]:
+            t = min(len(a), len(b)) // 20
+            if abs(len(a) - len(b)) <= t and distance(a, b) <= t:
+                links.update([a, b])
+    assert sum(v > 0 for v in links.values()) > 20
+    assert {r.doc_id: r.n_links for r in line_join.line_report(d).collect()} == {i: links[x] for i, x in enumerate(lines)}
