@@ -1,4 +1,4 @@
-"""SimHash fingerprints and the binary-trie self-join over them.
+"""SimHash fingerprints and the binary-trie self-join over them; exact near duplicates by shingle prefixes.
 
 Fingerprints within the Hamming budget agree in at least ``blocks - budget`` of
 the blocks the bits are cut into, so each choice of that many blocks becomes a
@@ -15,18 +15,21 @@ are left aside; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, parallelism, slices, text_batches
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS = 64
+SAMPLE = 5000
+OFTEN = 5
 
 
 def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> list[int]:
@@ -191,24 +194,73 @@ def _verified(batches, width: int, similarity: float):
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
-def groups(docs: DataFrame, width: int = 5, budget: int = 6, blocks: int = 9, similarity: float = 0.8) -> DataFrame:
+def _frequent(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted shingles that several texts of a small sample hold; they only change the order of prefixes, never a result."""
+
+    def run(batches):
+        for b in slices(batches):
+            sets = [np.unique(np.array(shingle_hashes(t, width), dtype=np.uint64)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
+
+    every = max(1, texts.count() // SAMPLE)
+    found = texts.where(F.pmod("t", F.lit(every)) == 0).select("node", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.int64).view(np.uint64))
+
+
+def _prefixes(batches, width: int, similarity: float, frequent: np.ndarray):
+    """Of n shingles, ordered alike in all texts, the first n - ceil(similarity * n) + 1: similar texts have one of these in common."""
+    for b in slices(batches):
+        nodes, keys, sizes = [], [], []
+        for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            h = np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+            n = len(h)
+            if n:
+                often = np.isin(h, frequent)
+                h = np.concatenate([h[~often], h[often]])[: n - math.ceil(similarity * n - 1e-9) + 1]
+            else:
+                h = np.zeros(1, np.uint64)  # texts without words are alike
+            nodes.append(np.full(len(h), node, np.int64))
+            keys.append(h)
+            sizes.append(np.full(len(h), n, np.int32))
+        if nodes:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=["h", "node", "n"])
+
+
+def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, component): documents, one for each different text, that have a near duplicate.
 
-    Candidates are fingerprints within the budget (and texts of one fingerprint);
-    a candidate counts if the Jaccard similarity of the shingle sets holds.
+    Texts are linked if the Jaccard similarity of their shingle sets holds, and
+    all such texts come together: similar sets have a shingle of their prefixes
+    in common.  Holders of a shingle are first paired with two others each; then
+    those that are still in different components with each other.
     """
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    hashed = own.withColumn("t", F.xxhash64("text"))
-    fps = cut(fingerprints(own, width).join(hashed.select("doc_id", "t"), "doc_id").groupBy("t").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")))
-    reps = fps.groupBy("fp").agg(F.min("node").alias("rep"))
-    star = fps.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    pairs = similar_pairs(reps, budget, blocks)
-    pairs = pairs.join(reps.select(F.col("fp").alias("fp_a"), F.col("rep").alias("a")), "fp_a").join(reps.select(F.col("fp").alias("fp_b"), F.col("rep").alias("b")), "fp_b").select("a", "b")
-    candidates = cut(pairs.union(star))
-    text = own.withColumn("text", F.col("text").cast("binary"))
-    both = candidates.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    links = both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long")
-    return connected_components(links)
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = own.groupBy("t").agg(F.min("doc_id").alias("node"), F.first("text").alias("text"))
+    frequent = _frequent(texts, width)
+    keys = texts.select("node", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, frequent), "h long, node long, n int")
+    one = Window.partitionBy("h")
+    held = keys.withColumns({"least": F.min("node").over(one), "most": F.max("node").over(one)}).where("least <> most")
+    held = cut(held.select("h", "node", "n"))
+
+    def linked(pairs):
+        with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return cut(both.select("a", "b", "ta", "tb").mapInArrow(lambda it: _verified(it, width, similarity), "a long, b long"))
+
+    order = one.orderBy("n", "node")
+    first = F.first(F.struct("node", "n")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    near = held.select("node", "n", first.alias("one"), F.lag(F.struct("node", "n")).over(order).alias("two"))
+    near = near.select("node", "n", F.explode(F.array("one", "two")).alias("o"))
+    near = near.where((F.col("node") != F.col("o.node")) & (F.col("o.n") >= similarity * F.col("n") - 1e-9))
+    tried = cut(near.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
+    links = linked(tried)
+    known = held.join(connected_components(links), "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("c"))
+    apart = known.withColumns({"least": F.min("c").over(one), "most": F.max("c").over(one)}).where("least <> most").drop("least", "most")
+    apart = cut(apart)
+    x, y = (apart.select("h", *[F.col(c).alias(c + i) for c in ("node", "n", "c")]) for i in "xy")
+    rest = x.join(y, "h").where((F.col("cx") != F.col("cy")) & (F.col("nodex") < F.col("nodey")) & (F.least("nx", "ny") >= similarity * F.greatest("nx", "ny") - 1e-9))
+    rest = rest.select(F.col("nodex").alias("a"), F.col("nodey").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    return connected_components(links.union(linked(rest)))
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:

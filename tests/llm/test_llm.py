@@ -249,3 +249,30 @@ def test_edit_join_long_lines(spark):
                 links.update([a, b])
     assert sum(v > 0 for v in links.values()) > 20
     assert {r.doc_id: r.n_links for r in line_join.line_report(d).collect()} == {i: links[x] for i, x in enumerate(lines)}
+
+
+def test_near_duplicate_groups(spark):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(900)]
+    common, texts = [r.choice(vocabulary) for _ in range(30)], [None, "", " ", "one two", "one  two"]
+    for i in range(40):
+        w = [r.choice(vocabulary) for _ in range(r.randint(30, 150))] + common * (i % 3 == 0)
+        texts.append(" ".join(w))
+        for _ in range(4):  # copies with words replaced, some of the copy before: similarities on both sides of 0.8
+            x = list(w)
+            for at in r.sample(range(len(x)), r.randint(1, max(1, len(x) // 30))):
+                x[at] = "new"
+            texts.append(" ".join(x))
+            w = x if i % 2 else w
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    alike = 0
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= 0.8 * len(x | y):
+                alike += 1
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    assert alike > 60 and len(set(group)) > 60
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {row.doc_id for row in simhash.without_near_duplicates(d).collect()} == {i for i, g in enumerate(group) if i == g}
