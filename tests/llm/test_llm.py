@@ -276,3 +276,22 @@ def test_near_duplicate_groups(spark):
     assert alike > 60 and len(set(group)) > 60
     d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {row.doc_id for row in simhash.without_near_duplicates(d).collect()} == {i for i, g in enumerate(group) if i == g}
+
+
+def test_edited_passages(spark):
+    r = random.Random(12)
+    vocabulary = ["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for n in (40, 45, 50, 60) * 15:
+        passage = [r.choice(vocabulary) for _ in range(n)]
+        for _ in range(2):
+            x = [r.choice(vocabulary) if r.random() < 0.06 else w for w in passage]
+            texts.append(" ".join([r.choice(vocabulary) for _ in range(r.randint(5, 60))] + x + [r.choice(vocabulary) for _ in range(r.randint(5, 60))]))
+    expected = set()
+    for i in range(0, len(texts), 2):
+        a, b = (passage_chains.Text(t.encode()) for t in texts[i : i + 2])
+        if any(passage_chains.passages(c, a, b) for c in passage_chains.chains(passage_chains.matches(a.places(), b))):
+            expected.add((i, i + 1))
+    assert len(expected) > 30
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {tuple(sorted((x.doc_id, x.other_id))) for x in passage_chains.shared_passages(d).collect()} == expected
