@@ -15,9 +15,6 @@ from ..functions import geometry
 from .attributes import r6
 
 
-MOST_UNITS = 500_000
-
-
 def shape_scores(units: DataFrame) -> DataFrame:
     """Area, perimeter, Polsby-Popper and Reock of a rectangle per unit."""
     a, b = (F.col("idx") % 4 + 1).cast("double"), (F.col("idx") % 6 + 1).cast("double")
@@ -85,33 +82,31 @@ def _cut(nodes: list[int], adj, pop, target: float, tolerance: float, rng, tries
     return None
 
 
-def _graph(edges: DataFrame, units: DataFrame, plan: DataFrame | None = None):
-    """The graph as arrays for a broadcast: one state's units, checked to be ``MOST_UNITS`` at most."""
-    n = units.count()
-    if n > MOST_UNITS:
-        raise ValueError(f"{n} units in one graph; kernels take {MOST_UNITS} at most, split by state first")
-    u = units.select("geoid", "pop").orderBy("geoid").toPandas()
+def _graph(u: pd.DataFrame, e: pd.DataFrame):
+    """Ids, neighbours, populations and, if there is a plan, districts of one group's rows, numbered in order of geoid."""
+    u = u.sort_values("geoid")
     number = {g: i for i, g in enumerate(u["geoid"])}
-    e = edges.select("u", "v").toPandas()
     adj: dict[int, list[int]] = {i: [] for i in range(len(u))}
     for x, y in zip(e["u"].map(number), e["v"].map(number)):
         adj[x].append(y)
         adj[y].append(x)
     adj = {k: sorted(v) for k, v in adj.items()}
-    start = None
-    if plan is not None:
-        p = plan.toPandas().set_index("geoid")["district"]
-        start = [int(p[g]) for g in u["geoid"]]
+    start = [int(x) for x in u["district"]] if "district" in u else None
     return list(u["geoid"]), adj, {i: max(1, int(x)) for i, x in enumerate(u["pop"])}, start
 
 
+def _by_group(units: DataFrame, edges: DataFrame, name: str, n: int, run, schema: str) -> DataFrame:
+    """``run(number, graph)`` for the numbers below n; Spark's shuffle takes the graph's rows to each group's task."""
+    u, e = (df.select(*df.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)) for df in (units, edges.select("u", "v")))
+    return u.groupBy(name).cogroup(e.groupBy(name)).applyInPandas(lambda key, x, y: run(int(key[0]), _graph(x, y)), schema)
+
+
 def recom(spark: SparkSession, edges: DataFrame, units: DataFrame, plan: DataFrame, chains: int, steps: int, tolerance: float = 0.2, seed: int = 1) -> DataFrame:
     """Recombination chains: chain, step, n_cut, max_deviation, accepted."""
-    shared = spark.sparkContext.broadcast(_graph(edges, units, plan))
 
-    def run(key, _):
-        ids, adj, pop, start = shared.value
-        label, rng = list(start), np.random.default_rng([seed, int(key[0])])
+    def run(chain, graph):
+        ids, adj, pop, start = graph
+        label, rng = list(start), np.random.default_rng([seed, chain])
         k = max(label)
         ideal = sum(pop.values()) / k
         rows = []
@@ -125,19 +120,18 @@ def recom(spark: SparkSession, edges: DataFrame, units: DataFrame, plan: DataFra
                     label[n] = a if n in part else b
             cut = sum(label[x] != label[y] for x in adj for y in adj[x]) // 2
             sums = np.bincount(label, [pop[i] for i in range(len(label))], minlength=k + 1)[1:]
-            rows.append((key[0], step, cut, float(np.abs(sums - ideal).max() / ideal), part is not None))
+            rows.append((chain, step, cut, float(np.abs(sums - ideal).max() / ideal), part is not None))
         return pd.DataFrame(rows, columns=["chain", "step", "n_cut", "max_deviation", "accepted"])
 
-    return spark.range(chains).withColumnRenamed("id", "chain").groupBy("chain").applyInPandas(run, "chain long, step long, n_cut long, max_deviation double, accepted boolean")
+    return _by_group(units.select("geoid", "pop").join(plan.select("geoid", "district"), "geoid"), edges, "chain", chains, run, "chain long, step long, n_cut long, max_deviation double, accepted boolean")
 
 
 def sequential_sample(spark: SparkSession, edges: DataFrame, units: DataFrame, k: int, particles: int, tolerance: float = 0.1, seed: int = 2) -> DataFrame:
     """Sequential plans: particle, geoid, district; districts are cut off one by one; a particle that fails has district null."""
-    shared = spark.sparkContext.broadcast(_graph(edges, units))
 
-    def run(key, _):
-        ids, adj, pop, _start = shared.value
-        rng = np.random.default_rng([seed, int(key[0])])
+    def run(particle, graph):
+        ids, adj, pop, _start = graph
+        rng = np.random.default_rng([seed, particle])
         left, label = list(range(len(ids))), [0] * len(ids)
         for d in range(1, k):
             part = _cut(left, adj, pop, sum(pop[n] for n in left) / (k - d + 1), tolerance, rng, 50)
@@ -148,18 +142,16 @@ def sequential_sample(spark: SparkSession, edges: DataFrame, units: DataFrame, k
                 label[n] = d
             left = [n for n in left if n not in part]
         label = [None if v is None else v or k for v in label]
-        return pd.DataFrame({"particle": key[0], "geoid": ids, "district": pd.array(label, dtype="Int32")})
+        return pd.DataFrame({"particle": particle, "geoid": ids, "district": pd.array(label, dtype="Int32")})
 
-    return spark.range(particles).withColumnRenamed("id", "particle").groupBy("particle").applyInPandas(run, "particle long, geoid string, district int")
+    return _by_group(units.select("geoid", "pop"), edges, "particle", particles, run, "particle long, geoid string, district int")
 
 
 def bisect(edges: DataFrame, units: DataFrame, k: int, tolerance: float = 0.05, seed: int = 3) -> DataFrame:
     """Recursive bisection into k districts: geoid, district."""
-    spark = units.sparkSession
-    shared = spark.sparkContext.broadcast(_graph(edges, units))
 
-    def run(key, _):
-        ids, adj, pop, _start = shared.value
+    def run(_number, graph):
+        ids, adj, pop, _start = graph
         rng, label, todo, done = np.random.default_rng(seed), [0] * len(ids), [(list(range(len(ids))), k)], 0
         while todo:
             nodes, n = todo.pop(0)
@@ -177,4 +169,4 @@ def bisect(edges: DataFrame, units: DataFrame, k: int, tolerance: float = 0.05,
             todo += [([x for x in nodes if x in part], share), ([x for x in nodes if x not in part], n - share)]
         return pd.DataFrame({"geoid": ids, "district": np.array(label, dtype=np.int32)})
 
-    return spark.range(1).groupBy("id").applyInPandas(run, "geoid string, district int")
+    return _by_group(units.select("geoid", "pop"), edges, "number", 1, run, "geoid string, district int")

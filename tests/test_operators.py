@@ -122,3 +122,12 @@ def test_kernels_cover_all_units(spark):
     assert len(p) == 150 and set(p.district) == set(range(1, 8))
     r = catalog.queries()["recom_chain"](spark, D).toPandas()
     assert len(r) == 80 and r.accepted.any()
+
+
+def test_kernels_collect_nothing(spark, monkeypatch):
+    def refused(self):
+        raise AssertionError("the graph went to the driver")
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", refused)
+    for name, n in (("pfr_partition", 150), ("recom_chain", 80), ("smc_sample", 1200)):
+        assert len(catalog.queries()[name](spark, D).collect()) == n
