@@ -36,7 +36,7 @@ from .common import slices, text_batches
 
 MARK = "▁"
 #: Bytes of words and ids that a worker remembers; beyond it, it forgets them all.  Words over LONG characters are not remembered.
-MEMORY = 96 << 20
+MEMORY = 192 << 20
 LONG = 64
 #: Pairs of pieces that a worker remembers.
 PAIRS = 2_000_000
