@@ -51,6 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/precinctlab-{uuid.uuid4().hex}"
 
 
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The rows as a bucketed Parquet table in the shared folder; the catalog keeps no entry, the folder's owner clears it."""
+    spark, name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}").bucketBy(n, *keys).saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # resolved now: the relation stays when its external table's entry goes
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext

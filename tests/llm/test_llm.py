@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from precinctlab.llm import line_join, mixing, passage_chains, piece_viterbi, projection_ann, quality_rules, simhash, suffix_dedup, token_output, toxicity
+from precinctlab.llm import line_join, mixing, passage_chains, piece_viterbi, projection_ann, quality_rules, shared_keys, simhash, suffix_dedup, token_output, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,11 +152,69 @@ def test_edit_join(spark):
     assert sum(r.n_lines - r.n_removed for r in got.values()) == len({c for r in got.values() for c in r.class_ids})
 
 
-def test_passages(docs):
-    found = {frozenset((r.doc_id, r.other_id)) for r in passage_chains.shared_passages(docs).collect()}
-    holders = {7 + i for i in range(0, 30, 5)}
-    assert holders <= set().union(*found)
-    assert not {k for p in found for k in p} - holders - {10, 11, 12, 37, 38, 39, 40}
+def grouped(pairs, nodes):
+    """Smallest node reachable from each."""
+    least = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
+def test_passages(spark, docs):
+    """Classes and spans against the alignment of all pairs."""
+    r = random.Random(14)
+    vocabulary = ["".join(r.choice("abcdefg") for _ in range(5)) for _ in range(2500)]
+    texts = [t for _, t in named(docs.where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy("doc_id"))]
+    for n, holders in ((60, 14), (45, 9), (90, 6)):  # each holder edits its own words, so seeds lie in all combinations
+        passage, phrase = [r.choice(vocabulary) for _ in range(n)], [r.choice(vocabulary) for _ in range(9)]
+        for _ in range(holders):
+            x = [r.choice(vocabulary) if r.random() < 0.08 else w for w in passage]
+            texts.append(" ".join(phrase + [r.choice(vocabulary) for _ in range(r.randint(5, 60))] + x + [r.choice(vocabulary) for _ in range(r.randint(5, 60))]))
+    read = [passage_chains.Text(t.encode()) for t in texts]
+    spans, equal = {}, []
+    for i, a in enumerate(read):
+        for j in range(i):
+            if texts[i] == texts[j]:
+                if len(a.words) >= 40:
+                    equal.append((j, i))
+                continue
+            for x, y in ((i, j), (j, i)):
+                spans[x, y] = {p for c in passage_chains.chains(passage_chains.matches(read[x].places(), read[y])) for p in passage_chains.passages(c, read[x], read[y])}
+    pairs = [k for k, p in spans.items() if p]
+    least = grouped([*pairs, *equal], range(len(texts)))
+    d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[-1], 1)], "doc_id long, text string, t int").repartition(5)
+    got = passage_chains.shared_passages(d).collect()
+    found = {k for x in got for k in (x.doc_id, x.other_id)}
+    assert {k for k in found} == {k for p in [*pairs, *equal] for k in p}
+    assert all(x.class_id == least[x.doc_id] == least[x.other_id] for x in got)
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    for x in got:
+        if x.copy:
+            assert texts[x.doc_id] == texts[x.other_id] and x.doc_id == first[texts[x.doc_id]]
+        else:
+            assert (x.start, x.end, x.other_start, x.other_end, x.n_equal) in spans[x.doc_id, x.other_id]
+            assert x.identity == x.n_equal / max(x.end - x.start, x.other_end - x.other_start) >= 0.8
+    # passages shared by every pair of linked texts lead to one class
+    assert all(least[a] == least[b] for a, b in pairs) and len({least[k] for k in found}) > 3
+
+
+def test_word_strings():
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["a", "b", "Ab", "aB"]) for _ in range(r.randint(0, 30))).encode() for _ in range(40)] + [b"", b"\tx\n y  z w v\r", b"x y z w v"]
+    h, owner, place = passage_chains.word_strings(texts)
+    want = [(i, j, tuple(w[j : j + 5])) for i, t in enumerate(texts) for w in [t.lower().split()] for j in range(len(w) - 4)]
+    assert list(zip(owner.tolist(), place.tolist())) == [x[:2] for x in want]
+    assert len(set(h.tolist())) == len({x[2] for x in want}) == len(set(zip(h.tolist(), (x[2] for x in want))))
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    assert (shared_keys.unpack(shared_keys.pack(keys)) == keys).all() and len(shared_keys.unpack(shared_keys.pack(keys[:0]))) == 0
+    for bits in (32, 40, 64):
+        rows = shared_keys.pack_parts(keys, 3, 7, bits).to_pylist()
+        assert [x["part"] for x in rows] == list(range(7))
+        assert (np.concatenate([shared_keys.unpack(x["keys"]) for x in rows]) == np.unique(keys >> np.uint64(64 - bits))).all()
 
 
 def test_tokens_round_trip(docs):
@@ -179,38 +237,63 @@ def test_planes(planes):
     assert len(token_output.unpack(token_output.pack(ids[:0], planes))) == 0
 
 
-def test_viterbi(docs):
-    p = piece_viterbi.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+def test_piece_ids(spark, docs):
+    """Ids of the library, on documents and on texts of odd characters, long words and runs of spaces."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_viterbi.pieces(path)
+    r = random.Random(1)
+    texts = [t for _, t in named(docs)] + ["".join(r.choice(" ▁  aeithes\n\tnéüß中文🙂♞01.,-_=　") for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    texts += ["".join(r.choices(own.symbols, k=r.randint(1, 12))) for _ in range(2000)] + [" " * n + "x" + " " * n for n in range(40)] + ["ab" * 3000, "=-" * 500, "\x00"]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == library.encode(texts, num_threads=1)
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(7, None, "y")], "doc_id long, text string, ids string")
+    back = piece_viterbi.decode_documents(piece_viterbi.encode_documents(d, path), path)
+    assert Counter((x.doc_id, x.text) for x in back.collect()) == Counter([(i, t.replace("▁", " ")) for i, t in enumerate(texts)] + [(7, "")])
+    assert all(x.exact for x in piece_viterbi.round_trip(docs, path).collect())
+    assert piece_viterbi.round_trip(d.where("false"), path).collect() == []
+
+
+def test_apart():
+    """Two neighbours stay apart if and only if merging their union by rank gives them back."""
+    own = piece_viterbi.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+
+    def merged(text):
+        parts = list(text)
+        while len(parts) > 1:
+            rank, i = min((own.rank.get(a + b, math.inf), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == math.inf:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
 
-    def best(word):
-        score = [0.0]
-        for i in range(1, len(word) + 1):
-            own = [p.scores[word[s:i]][0] + score[s] for s in range(i) if word[s:i] in p.scores]
-            c = word[i - 1]
-            score.append(max(own + ([] if c in p.scores else [score[i - 1] + piece_viterbi.BYTE_PENALTY * len(c.encode())])))
-        return score[-1]
-
-    words = sorted({w for _, t in named(docs) for w in p.cut(t)} | {"▁♞a", "▁"})
-    one = p.viterbi_sorted(words)
-    value = {i: s for s, i in p.scores.values()}
-    for w in words:
-        assert sum(value.get(i, piece_viterbi.BYTE_PENALTY) for i in one[w]) == pytest.approx(best(w))
-    assert all(r.exact for r in piece_viterbi.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    r = random.Random(2)
+    for a, b in ((r.randrange(len(own.symbols)), r.randrange(len(own.symbols))) for _ in range(4000)):
+        assert own.apart(a, b) == (merged(own.symbols[a] + own.symbols[b]) == [own.symbols[a], own.symbols[b]])
 
 
-def test_nearest(spark):
+@pytest.mark.parametrize("cell_rows", [20_000, 60])
+def test_nearest(spark, cell_rows):
+    """Against brute force, in one cell and in two rounds over several; equal, huge and tiny vectors and rows that take no part."""
     r = np.random.default_rng(4)
-    v = r.standard_normal((400, 16))
-    v[5] = v[0]
-    rows = [(i, [float(x) for x in v[i]]) for i in range(400)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0])]
-    got = projection_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
-    u = v / np.linalg.norm(v, axis=1)[:, None]
+    v = r.standard_normal((700, 16))
+    v[5], v[7], v[650:] = v[0], v[50] * 1e200, v[649] + 1e-3 * r.standard_normal((50, 16))
+    v[8] = v[50] * 1e-200
+    rows = [(i, [float(x) for x in v[i]], "x") for i in range(700)] + [(7, v[7].tolist(), "again"), (None, v[0].tolist(), "x")]
+    rows += [(1000, None, ""), (1050, [0.0] * 16, ""), (1100, [float("nan")] * 16, ""), (1150, [1.0], ""), (1151, [2.0], ""), (1200, [None] * 16, ""), (1250, [float("inf")] * 16, "")]
+    got = projection_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string"), cell_rows=cell_rows).collect()
+    u = v / np.abs(v).max(axis=1)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
     hits = 0
-    for q in range(0, 400, 50):
+    for q in range(0, 700, 50):
         s = u @ u[q]
         s[q] = -9
-        hits += len(set(np.argsort(-s)[:5].tolist()) & {x.vec_id for x in got if x.query_id == q})
-    assert hits >= 0.9 * 40 and len(got) == 40
+        own = {x.rank: x for x in got if x.query_id == q}
+        hits += len(set(np.argsort(-s, kind="stable")[:5].tolist()) & {x.vec_id for x in own.values()})
+        assert sorted(own) == [1, 2, 3, 4, 5] and all(math.isclose(x.score, s[x.vec_id], abs_tol=1e-12) for x in own.values())
+    assert hits >= 0.9 * 70
+    assert {x.vec_id for x in got if x.query_id == 50 and x.rank < 3} == {7, 8}
+    assert [(x.vec_id, x.rank) for x in got if x.query_id == 1150] == [(1151, 1)] and {x.query_id for x in got} == {*range(0, 700, 50), 1150}
 
 
 def test_toxicity(spark):
