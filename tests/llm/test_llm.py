@@ -184,7 +184,9 @@ def test_passages(spark, docs):
     pairs = [k for k, p in spans.items() if p]
     least = grouped([*pairs, *equal], range(len(texts)))
     d = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[-1], 1)], "doc_id long, text string, t int").repartition(5)
-    got = passage_chains.shared_passages(d).collect()
+    got = passage_chains.shared_passages(d, exhaustive=True).collect()
+    usual = passage_chains.shared_passages(d).collect()
+    assert {(x.other_id, x.class_id) for x in usual} == {(x.other_id, x.class_id) for x in got}
     found = {k for x in got for k in (x.doc_id, x.other_id)}
     assert {k for k in found} == {k for p in [*pairs, *equal] for k in p}
     assert all(x.class_id == least[x.doc_id] == least[x.other_id] for x in got)
