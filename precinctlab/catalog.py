@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import catalog_files
-from .operators import allocation, attributes, comparison, graph, kernels, partisan, series
+from .operators import allocation, attributes, comparison, graph, partisan, series, shapes
 from .operators.attributes import r6
 from .plans import adapters as a
 
@@ -91,8 +91,10 @@ simple("proportionality", over(partisan.proportionality), EL + """
 , z AS (SELECT sum(dem) AS d, sum(total) AS t, count(*) FILTER (CASE WHEN total > 0 THEN dem / total ELSE 0 END >= 0.5) AS ds, count(*) AS n, count(*) FILTER (dem = 0 OR rep = 0) AS un FROM el)
 SELECT round(d / t, 6) AS dem_vote_share, ds AS dem_seats, n - ds AS rep_seats, round(ds / n, 6) AS dem_seat_share, un AS n_uncontested, round(100 * (ds / n - d / t), 6) AS gap_pp, t > 0 AS available FROM z""")
 simple("competitive_districts", over(partisan.competitive), EL + "SELECT count(*) FILTER (abs(dem - rep) / greatest(total, 1) < 0.05) AS n_competitive, count(*) AS n_districts FROM el")
-simple("partisan_bias_cubic", over(partisan.bias_cubic))
-simple("bootstrap_ci", over(partisan.bootstrap))
+simple("bootstrap_ci", over(partisan.bootstrap), EL + """
+, rw AS (SELECT row_number() OVER (ORDER BY district) - 1 AS i, dem_pct FROM el), n AS (SELECT count(*) AS n FROM el), dr AS (SELECT b, CAST('0x' || substr(md5('42:' || b || ':' || j), 1, 8) AS BIGINT) % n AS i FROM (SELECT unnest(range(1000)) AS b), n, LATERAL (SELECT unnest(range(n)) AS j)),
+st AS (SELECT b, avg(dem_pct) - quantile_cont(dem_pct, 0.5) AS m FROM dr JOIN rw USING (i) GROUP BY b), so AS (SELECT m, row_number() OVER (ORDER BY m) AS r FROM st)
+SELECT (SELECT m FROM so WHERE r = floor(1000 * 0.025) + 1) AS low, (SELECT m FROM so WHERE r = floor(1000 * 0.975) + 1) AS high""")
 
 SEATS = 435
 
@@ -167,13 +169,6 @@ def _national(s, d):
     return comparison.national([u.where(F.col("state") == x).select("state", "pop") for x in ("01", "02", "03", "04", "05")]).groupBy("state").agg(F.count("*").alias("n"), F.sum("pop").alias("pop"))
 
 
-@register("exit_code", "SELECT district, CAST(CASE WHEN abs(pop - i) / i > 0.02 THEN 1 ELSE 0 END + CASE WHEN dem + rep = 0 THEN 8 ELSE 0 END AS INTEGER) AS code FROM full_dist, (SELECT avg(pop) AS i FROM full_dist)")
-def _exit(s, d):
-    x = attributes.by_district(a.units(s, d), a.plan_a(s, d), ["pop", "dem", "rep"], K)
-    x = x.join(F.broadcast(x.agg(F.avg("pop").alias("i"))))
-    return x.select("district", comparison.exit_code(F.abs(F.col("pop") - F.col("i")) / F.col("i") > 0.02, F.lit(False), F.lit(False), F.col("dem") + F.col("rep") == 0).cast("int").alias("code"))
-
-
 def gp(f, plan="plan_a", *more):
     return lambda s, d: f(a.edges(s, d), getattr(a, plan)(s, d), *more)
 
@@ -198,7 +193,6 @@ SELECT a.district, count(c) <= 1 AS contiguous, CAST(coalesce(sum(n), 0) AS BIGI
 simple("subset_polsby_popper", lambda s, d: graph.subset_polsby_popper(a.edges(s, d), a.plan_b(s, d), a.units(s, d).select("geoid", (F.col("pop") + 1).cast("double").alias("area"), (F.col("idx") % 3).cast("double").alias("outer"))), LAB.format(p="plan_b") + """
 , ar AS (SELECT district, sum(CAST(pop + 1 AS DOUBLE)) AS area, sum(CAST(idx % 3 AS DOUBLE)) AS ext FROM unit JOIN plan_b USING (geoid) GROUP BY 1), cr AS (SELECT district, sum(w) AS c FROM (SELECT du AS district, w FROM lab WHERE du <> dv UNION ALL SELECT dv, w FROM lab WHERE du <> dv) GROUP BY 1)
 SELECT district, round(CASE WHEN ext + coalesce(c, 0) > 0 THEN 4 * pi() * area / ((ext + coalesce(c, 0)) ** 2) ELSE 0 END, 6) AS pp FROM ar LEFT JOIN cr USING (district)""")
-simple("chamber_adjacency", gp(graph.adjacent_pairs, "plan_a"), LAB.format(p="plan_a") + "SELECT least(du, dv) AS d1, greatest(du, dv) AS d2, count(*) AS n_edges FROM lab WHERE du <> dv GROUP BY 1, 2")
 
 
 def minority_share(s, d):
@@ -223,7 +217,7 @@ simple("graph_checks", lambda s, d: graph.graph_checks(a.edges(s, d), a.units_on
 (SELECT count(*) FROM edge WHERE w <= 0) AS non_positive, (SELECT count(*) FROM (SELECT u AS x FROM edge UNION ALL SELECT v FROM edge) WHERE x NOT IN (SELECT geoid FROM unit)) AS unknown_ends""")
 simple("metis_text", lambda s, d: graph.metis_text(a.edges(s, d), a.units(s, d).select("geoid", (F.col("idx") + 1).alias("number"), F.col("pop").alias("weight"))), """
 nb AS (SELECT x.idx + 1 AS number, y.idx + 1 AS b, CAST(round(w * 1000) AS BIGINT) AS w FROM edge JOIN unit x ON x.geoid = u JOIN unit y ON y.geoid = v UNION ALL SELECT y.idx + 1, x.idx + 1, CAST(round(w * 1000) AS BIGINT) FROM edge JOIN unit x ON x.geoid = u JOIN unit y ON y.geoid = v),
-tx AS (SELECT number, string_agg(b || ' ' || w, ' ' ORDER BY b, w) AS t FROM nb GROUP BY 1) SELECT idx + 1 AS number, trim(pop || ' ' || coalesce(t, '')) AS line FROM unit LEFT JOIN tx ON number = idx + 1""")
+tx AS (SELECT number, string_agg(b || ' ' || w, ' ' ORDER BY b, w) AS t FROM nb GROUP BY 1) SELECT 0 AS number, (SELECT count(*) FROM unit) || ' ' || (SELECT count(*) FROM edge) || ' 011' AS line UNION ALL SELECT idx + 1 AS number, trim(pop || ' ' || coalesce(t, '')) AS line FROM unit LEFT JOIN tx ON number = idx + 1""")
 
 TR = "n AS (SELECT min(m) AS n FROM (SELECT max(step) AS m FROM trace GROUP BY chain)), tr AS (SELECT chain, step, value FROM trace, n WHERE step <= n)"
 simple("rhat", lambda s, d: series.r_hat(series.trimmed(a.traces(s, d))), TR + """, c AS (SELECT chain, avg(value) AS m, var_samp(value) AS v, count(*) AS n FROM tr GROUP BY 1), g AS (SELECT count(*) AS k, max(n) AS n, avg(v) AS w, var_samp(m) AS b FROM c)
@@ -243,16 +237,17 @@ simple("holm_adjust", lambda s, d: series.holm(a.units(s, d).groupBy(F.col("plac
 simple("rank_in_state", lambda s, d: series.national_rank(a.units(s, d), "state", "pop", "geoid"), "SELECT substr(geoid, 1, 2) AS state, geoid, CAST(rank() OVER (PARTITION BY substr(geoid, 1, 2) ORDER BY pop DESC) AS INTEGER) AS rank_in_group, CAST(rank() OVER (ORDER BY pop DESC) AS INTEGER) AS rank_overall FROM unit")
 simple("props_json_scan", lambda s, d: a.read(s, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.explode("m").alias("key", "value")), "SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$.' || unnest(json_keys(props))) AS value FROM events")
 simple("rplan_roundtrip", lambda s, d: a.plan_a(s, d).groupBy("district").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("geoid", "district")))).alias("j")).select(F.explode(F.from_json("j", "map<string,int>")).alias("geoid", "district")), "SELECT geoid, district FROM plan_a")
-simple("recom_chain", lambda s, d: kernels.recom(s, a.edges(s, d), a.units(s, d), a.plan_b(s, d), chains=4, steps=20))
-simple("smc_sample", lambda s, d: kernels.sequential_sample(s, a.edges(s, d), a.units(s, d), k=K, particles=8))
-simple("pfr_partition", lambda s, d: kernels.bisect(a.edges(s, d), a.units(s, d), K))
-simple("polsby_popper", lambda s, d: kernels.shape_scores(a.units_only(s, d)), """
+simple("polsby_popper", lambda s, d: shapes.shape_scores(a.units_only(s, d)), """
 r AS (SELECT geoid, CAST(idx % 4 + 1 AS DOUBLE) AS a, CAST(idx % 6 + 1 AS DOUBLE) AS b FROM unit) SELECT geoid, round(a * b, 6) AS area, round(2 * (a + b), 6) AS perimeter, round(least(1.0, 4 * pi() * a * b / ((2 * (a + b)) ** 2)), 6) AS polsby_popper, round(a * b / (pi() * (a * a + b * b) / 4), 6) AS reock FROM r""")
 
 
 def queries() -> dict:
+    from . import catalog_more  # noqa: F401  registers itself
+
     return _QUERIES | catalog_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_more  # noqa: F401
+
     return _SQL | catalog_files.SQL

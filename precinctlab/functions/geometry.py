@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _sides(ring: Column, f) -> Column:
@@ -25,12 +27,59 @@ def polsby_popper(ring: Column) -> Column:
     return F.when(p > 0, F.least(F.lit(1.0), 4 * F.pi() * area(ring) / (p * p)))
 
 
+def centroid(ring: Column) -> tuple[Column, Column]:
+    """Centre of the area of an open ring; null without area."""
+    twice = _sides(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    moment = lambda c: _sides(ring, lambda p, q: (p[c] + q[c]) * (p["x"] * q["y"] - q["x"] * p["y"]))
+    return tuple(F.when(twice != 0, moment(c) / (3 * twice)) for c in "xy")
+
+
 def reock(ring: Column) -> Column:
-    """Area over that of the circle around the mean vertex through the farthest one."""
+    """Area over that of the circle around the area's centre through the farthest vertex, 1 at most."""
+    x, y = centroid(ring)
+    far = F.array_max(F.transform(ring, lambda p: (p["x"] - x) * (p["x"] - x) + (p["y"] - y) * (p["y"] - y)))
+    return F.when(far > 0, F.least(F.lit(1.0), area(ring) / (F.pi() * far)))
+
+
+@F.pandas_udf(T.DoubleType())
+def hull_area(ring: pd.Series) -> pd.Series:
+    """Area of the convex hull, by monotone chains over the sorted vertices."""
+
+    def chain(points):
+        kept: list[tuple[float, float]] = []
+        for p in points:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    def one(r):
+        if r is None:
+            return None
+        points = sorted({(p["x"], p["y"]) for p in r})
+        hull = chain(points) + chain(points[::-1])
+        return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1]))) / 2
+
+    return ring.map(one)
+
+
+def hull_ratio(ring: Column) -> Column:
+    """Area over that of the convex hull, 1 at most."""
+    hull = hull_area(ring)
+    return F.when(hull > 0, F.least(F.lit(1.0), area(ring) / hull))
+
+
+def distance2(ring: Column, x: Column, y: Column) -> Column:
+    """Squared distance of a point to the nearest side of an open ring."""
     n = F.size(ring)
-    mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[c]) / n
-    far = F.array_max(F.transform(ring, lambda p: (p["x"] - mean("x")) * (p["x"] - mean("x")) + (p["y"] - mean("y")) * (p["y"] - mean("y"))))
-    return F.when(far > 0, area(ring) / (F.pi() * far))
+
+    def side(i):
+        p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
+        dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+        along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(((x - p["x"]) * dx + (y - p["y"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
+        return (p["x"] + along * dx - x) * (p["x"] + along * dx - x) + (p["y"] + along * dy - y) * (p["y"] + along * dy - y)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), n - 1), side))
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:

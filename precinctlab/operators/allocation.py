@@ -75,3 +75,47 @@ def split_tree(k: int) -> list[tuple[int, int, int, int, str]]:
                 nxt += [(n // 2, depth + 1, path + "L"), (n - n // 2, depth + 1, path + "R")]
         level = nxt
     return out
+
+
+def seat_sequence(pops: DataFrame, name: str, pop: str, seats: int, least: int = 1) -> DataFrame:
+    """seat (place among all), name, nth (of its name), priority of the seats after the first ``least`` of each name; too few seats are an error."""
+    n = pops.count()
+    if least < 1 or seats < least * n:
+        raise ValueError(f"{seats} seats for {n} names with {least} at least")
+    given = pops.withColumn("i", F.explode(F.sequence(F.lit(least), F.lit(seats)))).withColumn("priority", F.col(pop) / F.sqrt(F.col("i") * (F.col("i") + 1)))
+    top = given.orderBy(F.desc("priority"), name, "i").limit(seats - least * n)
+    place = F.row_number().over(Window.orderBy(F.desc("priority"), name, "i"))  # of the few seats left
+    return top.select((place + least * n).cast("long").alias("seat"), name, (F.col("i") + 1).cast("int").alias("nth"), r6("priority").alias("priority"))
+
+
+def seat_differences(got: DataFrame, expected: DataFrame, name: str) -> DataFrame:
+    """name, got, expected, difference where two allocations differ; a name that one lacks counts 0 there."""
+    g, e = (t.select(name, F.col("seats").alias(c)) for t, c in ((got, "got"), (expected, "expected")))
+    both = g.join(e, name, "full_outer").fillna(0, ["got", "expected"])
+    return both.where("got <> expected").select(name, "got", "expected", (F.col("got") - F.col("expected")).alias("difference"))
+
+
+def prime_sequence(spark, top: int) -> DataFrame:
+    """n and its prime factors in order, for n = 2..top: each prime's powers meet their multiples."""
+    n = spark.range(2, top + 1)
+    composite = n.where(F.col("id") * F.col("id") <= top).select(F.explode(F.sequence(F.col("id") * F.col("id"), F.lit(top), F.col("id"))).alias("id")).distinct()
+    primes = n.join(composite, "id", "left_anti")
+    powers = primes.withColumn("e", F.explode(F.sequence(F.lit(1), F.floor(F.log(F.lit(top + 0.5)) / F.log("id")).cast("int")))).withColumn("step", F.pow("id", "e").cast("long"))
+    held = powers.select("id", "e", F.explode(F.sequence("step", F.lit(top).cast("long"), "step")).alias("n"))
+    return held.groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "e"))), lambda x: x["id"]).alias("factors"))
+
+
+def prime_divergence(spark, numbers: DataFrame, top: int) -> DataFrame:
+    """k and the first place at which the prime factors of k and k + 1 differ."""
+    f = prime_sequence(spark, top)
+    pairs = numbers.join(f.select(F.col("n").cast("int").alias("k"), F.col("factors").alias("a")), "k").join(f.select((F.col("n") - 1).cast("int").alias("k"), F.col("factors").alias("b")), "k")
+    same = F.zip_with("a", "b", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return pairs.select("k", F.array_position(F.concat(same, F.array(F.lit(False))), False).cast("int").alias("level"))
+
+
+def against_single_member(votes: DataFrame, party: str, value: str, seats: int, within: str) -> DataFrame:
+    """party, its share of all votes, of the seats in districts of ``seats`` members, and of those with one member."""
+    share = lambda t, v, c: t.groupBy(party).agg(F.sum(v).alias(c))
+    out = share(votes, value, "vote_share").join(share(dhondt(votes, party, value, seats, [within]), "seats", "multi_share"), party, "left").join(share(dhondt(votes, party, value, 1, [within]), "seats", "single_share"), party, "left").fillna(0)
+    total = out.agg(*[F.sum(c).alias(f"_{c}") for c in ("vote_share", "multi_share", "single_share")])
+    return out.join(F.broadcast(total)).select(party, *[r6(F.col(c) / F.col(f"_{c}")).alias(c) for c in ("vote_share", "multi_share", "single_share")])

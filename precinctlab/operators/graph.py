@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 from .attributes import r6
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint; a folder of our own only where the session names none."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not base:
-            import tempfile
-
-            base = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(f"{base}/graph-{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
 
@@ -46,18 +44,20 @@ def coarsen(edges: DataFrame, units: DataFrame, prefix: int = 5) -> DataFrame:
 
 def components(edges: DataFrame, nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): smallest node of each connected component, by alternating large-star and small-star rounds."""
-    e = _cut(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct())
+    e = cut(edges.select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct())
     state = None
     for _ in range(rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         e = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = e.groupBy("a").agg(F.min("b").alias("m"))
-        e = _cut(e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        now = e.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+        e = cut(e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -134,10 +134,76 @@ def graph_checks(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def metis_text(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """A line per node in order: weight, then 1-based neighbours and scaled edge weights.  ``nodes``: geoid, number (from 1), weight."""
+    """Line 0 with nodes, edges and format, then a line per node: weight, 1-based neighbours and scaled edge weights.  ``nodes``: geoid, number (from 1), weight."""
     num = nodes.select("geoid", "number")
     e = edges.join(num.select(F.col("geoid").alias("u"), F.col("number").alias("a")), "u").join(num.select(F.col("geoid").alias("v"), F.col("number").alias("b")), "v")
     both = e.select("a", "b", "w").union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     rows = both.groupBy(F.col("a").alias("number")).agg(F.array_sort(F.collect_list(F.struct("b", F.round(F.col("w") * 1000).cast("long").alias("w")))).alias("n"))
     text = F.array_join(F.transform("n", lambda x: F.concat_ws(" ", x["b"].cast("string"), x["w"].cast("string"))), " ")
-    return nodes.join(rows, "number", "left").select("number", F.trim(F.concat_ws(" ", F.col("weight").cast("string"), text)).alias("line"))
+    lines = nodes.join(rows, "number", "left").select(F.col("number").cast("long").alias("number"), F.trim(F.concat_ws(" ", F.col("weight").cast("string"), text)).alias("line"))
+    head = nodes.agg(F.count("*").alias("n")).join(F.broadcast(e.agg(F.count("*").alias("m")))).select(F.lit(0).cast("long").alias("number"), F.concat_ws(" ", F.col("n").cast("string"), F.col("m").cast("string"), F.lit("011")).alias("line"))
+    return head.union(lines)
+
+
+def largest_components(edges: DataFrame, plan: DataFrame) -> DataFrame:
+    """geoid, district, component, size, main: the components of each district; main is its largest, ties to the one of least geoid."""
+    inside = labelled(edges, plan).where("du = dv").select("u", "v")
+    comp = components(inside, plan.select(F.col("geoid").alias("node"))).withColumnRenamed("node", "geoid").join(plan, "geoid")
+    sizes = comp.groupBy("district", "component").agg(F.count("*").alias("size"))
+    best = sizes.groupBy("district").agg(F.min(F.struct((-F.col("size")).alias("s"), "component"))["component"].alias("best"))
+    return comp.join(sizes, ["district", "component"]).join(F.broadcast(best), "district").select("geoid", "district", "component", "size", (F.col("component") == F.col("best")).alias("main"))
+
+
+def chamber_adjacency(edges: DataFrame, plan: DataFrame) -> DataFrame:
+    """d1 < d2 of districts whose main components touch, with the number of edges between these."""
+    main = largest_components(edges, plan).where("main").select("geoid", "district")
+    return adjacent_pairs(edges, main)
+
+
+def bridges(edges: DataFrame, points: DataFrame, cell: float) -> DataFrame:
+    """u < v: each unit outside the largest component joins the nearest unit of that one, of its own county if there is any.  points: geoid, x, y."""
+    whole = points.select("geoid", F.lit(1).alias("district"))
+    comp = cut(largest_components(edges, whole).select("geoid", "main"))
+    at = points.join(comp, "geoid").select(F.col("geoid").alias("id"), "x", "y", F.substring("geoid", 1, 5).alias("county"), "main")
+    main, rest = at.where("main"), at.where(~F.col("main"))
+    from .spatial import nearest_points
+
+    own = nearest_points(rest, main, cell, "county")
+    other = nearest_points(rest.join(own.select("id"), "id", "left_anti"), main, cell)
+    return own.union(other).select(F.least("id", "to").alias("u"), F.greatest("id", "to").alias("v")).distinct()
+
+
+def augment_by_class(edges: DataFrame, shares: DataFrame, threshold: float) -> DataFrame:
+    """w times 2 if both ends or none are at or over the threshold, else times 0.5; a missing share is 0."""
+    high = lambda c: F.coalesce(c, F.lit(0.0)) >= threshold
+    e = with_ends(edges, shares, "share")
+    return e.select("u", "v", r6(F.col("w") * F.when(high("xu") == high("xv"), 2.0).otherwise(0.5)).alias("w"))
+
+
+def minor_axis(points: DataFrame) -> DataFrame:
+    """angle: direction of least variance of (lat, lon); null under two points."""
+    p = points.agg(F.var_pop("lat").alias("a"), F.covar_pop("lat", "lon").alias("c"), F.var_pop("lon").alias("b"), F.count("*").alias("n"))
+    least = (F.col("a") + F.col("b")) / 2 - F.sqrt(((F.col("a") - F.col("b")) / 2) * ((F.col("a") - F.col("b")) / 2) + F.col("c") * F.col("c"))
+    slanted = F.atan2("c", least - F.col("a"))
+    angle = F.when(F.abs("c") > 1e-12, slanted).otherwise(F.when(F.col("a") < F.col("b"), F.pi() / 2).otherwise(0.0))
+    return p.select(F.when(F.col("n") >= 2, angle).alias("angle"))
+
+
+def directional_penalty(edges: DataFrame, points: DataFrame, strength: float) -> DataFrame:
+    """w (1 + strength |sin|) of the angle between an edge and the minor axis of all points (geoid, lat, lon)."""
+    for end in "uv":
+        edges = edges.join(points.select(F.col("geoid").alias(end), F.col("lat").alias(f"lat_{end}"), F.col("lon").alias(f"lon_{end}")), end, "left")
+    turn = F.atan2(F.col("lat_v") - F.col("lat_u"), F.col("lon_v") - F.col("lon_u")) - F.col("angle")
+    return edges.join(F.broadcast(minor_axis(points))).select("u", "v", r6(F.col("w") * (1 + strength * F.abs(F.sin(F.coalesce(turn, F.lit(0.0)))))).alias("w"))
+
+
+def composed(edges: DataFrame, *steps) -> DataFrame:
+    """Edge transforms one after the other, each on the weights of the one before."""
+    for step in steps:
+        edges = step(edges)
+    return edges
+
+
+def united(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Edges of either set; of one in both, the greater weight."""
+    return a.select("u", "v", "w").union(b.select("u", "v", "w")).groupBy("u", "v").agg(F.max("w").alias("w"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attributes import r6
+from .roll_ups import running
 
 
 def trimmed(traces: DataFrame) -> DataFrame:
@@ -77,15 +78,14 @@ def hamming_by_lag(labels: DataFrame, max_lag: int) -> DataFrame:
 def cumulative_weights(weights: DataFrame) -> DataFrame:
     """Normalised running sum by id: id, weight."""
     total = weights.agg(F.sum("weight").alias("_t"))
-    run = F.sum("weight").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    return weights.join(F.broadcast(total)).select("id", r6(run / F.col("_t")).alias("cumulative"))
+    return running(weights, ["id"], {"_run": F.col("weight")}).join(F.broadcast(total)).select("id", r6(F.col("_run") / F.col("_t")).alias("cumulative"))
 
 
 def lorenz(rows: DataFrame, x: str, y: str, key: str) -> DataFrame:
     """Running shares of x and y by density x / y."""
-    w = Window.orderBy(F.col(x) / F.col(y), key).rowsBetween(Window.unboundedPreceding, 0)
     total = rows.agg(F.sum(x).alias("_x"), F.sum(y).alias("_y"))
-    return rows.join(F.broadcast(total)).select(key, r6(F.sum(x).over(w) / F.col("_x")).alias("x_share"), r6(F.sum(y).over(w) / F.col("_y")).alias("y_share"))
+    sums = running(rows.withColumn("_d", F.col(x) / F.col(y)), ["_d", key], {"_rx": F.col(x), "_ry": F.col(y)})
+    return sums.join(F.broadcast(total)).select(key, r6(F.col("_rx") / F.col("_x")).alias("x_share"), r6(F.col("_ry") / F.col("_y")).alias("y_share"))
 
 
 def trend(rows: DataFrame, y: str, x: str) -> DataFrame:
@@ -114,4 +114,8 @@ def holm(tests: DataFrame) -> DataFrame:
 
 
 def national_rank(rows: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    return rows.select(group, key, F.rank().over(Window.partitionBy(group).orderBy(F.desc(value))).alias("rank_in_group"), F.rank().over(Window.orderBy(F.desc(value))).alias("rank_overall"))
+    """Ranks in the group and among all, greatest first; equal values share a rank, and null values come last."""
+    counted = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_o", F.coalesce(-F.col("_v"), F.lit(float("inf"))))
+    overall = running(counted, ["_o"], {"_upto": F.col("_n")}).select("_v", (F.col("_upto") - F.col("_n") + 1).cast("int").alias("rank_overall"))
+    inside = F.rank().over(Window.partitionBy(group).orderBy(F.desc(value))).alias("rank_in_group")
+    return rows.select(group, key, inside, F.col(value).alias("_w")).join(overall, F.col("_w").eqNullSafe(F.col("_v"))).select(group, key, "rank_in_group", "rank_overall")

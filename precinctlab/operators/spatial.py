@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import contains
+from .graph import cut
+from ..functions.geometry import contains, distance2
 
 
 def _cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> DataFrame:
@@ -30,7 +31,7 @@ def overlapping_boxes(boxes: DataFrame, cell: float) -> DataFrame:
 
 
 def locate(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """geoid, district: the smallest district whose ring holds the point, else the one of nearest mean vertex.
+    """geoid, district: the smallest district whose ring holds the point, else the one of the nearest ring.
 
     Points: geoid, x, y. Polygons: district, ring. Rings spread over the grid
     cells of their boxes and points join on their cell.  Points outside every
@@ -40,12 +41,53 @@ def locate(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
     tiled = _cells(polygons, over(F.array_min, "x"), over(F.array_min, "y"), over(F.array_max, "x"), over(F.array_max, "y"), cell)
     at = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     inside = at.join(tiled, ["cx", "cy"]).where(contains(F.col("ring"), F.col("x"), F.col("y"))).groupBy("geoid").agg(F.min("district").alias("district"))
-    mean = lambda c: F.aggregate("ring", F.lit(0.0), lambda s, p: s + p[c]) / F.size("ring")
-    centres = polygons.agg(F.collect_list(F.struct(mean("x").alias("x"), mean("y").alias("y"), "district")).alias("centres"))
-    rest = points.join(inside, "geoid", "left_anti").join(F.broadcast(centres))
-    square = lambda z: z * z
-    near = F.array_min(F.transform("centres", lambda c: F.struct((square(c["x"] - F.col("x")) + square(c["y"] - F.col("y"))).alias("d"), c["district"].alias("district"))))["district"]
-    return inside.union(rest.select("geoid", near.alias("district")))
+    rest = points.join(inside, "geoid", "left_anti")
+    near = rest.crossJoin(polygons.select("district", "ring"))  # stray points times the districts of a plan
+    near = near.groupBy("geoid").agg(F.min(F.struct(distance2(F.col("ring"), F.col("x"), F.col("y")).alias("d"), "district"))["district"].alias("district"))
+    return inside.union(near)
+
+
+def nearest_points(points: DataFrame, among: DataFrame, cell: float, by: str | None = None) -> DataFrame:
+    """(id, to, d2): for each point (id, x, y) the nearest of ``among`` (id, x, y), of the same ``by`` if given; ties go to the smaller id.
+
+    Points look in grid cells around their own, two times as far in each round,
+    until one lies no farther than the cells reach; points of no ``by`` partner
+    stay out.
+    """
+    keys = ["cx", "cy", *([by] if by else [])]
+    at = lambda d: d.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    there = at(among).select(F.col("id").alias("to"), F.col("x").alias("tx"), F.col("y").alias("ty"), *keys)
+    left, reach, done = at(points), 1, None
+    if by:
+        left = left.join(among.select(by).distinct(), by, "left_semi")
+    box = among.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).union(points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")))
+    b = box.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
+    widest = 0 if b[0] is None else max(b[1] - b[0], b[3] - b[2]) / cell + 2
+    while True:
+        step = F.sequence(F.lit(-reach), F.lit(reach))
+        look = left.withColumn("dx", F.explode(step)).withColumn("dy", F.explode(step)).withColumns({"cx": F.col("cx") + F.col("dx"), "cy": F.col("cy") + F.col("dy")})
+        d2 = (F.col("tx") - F.col("x")) * (F.col("tx") - F.col("x")) + (F.col("ty") - F.col("y")) * (F.col("ty") - F.col("y"))
+        found = look.join(there, keys).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "to")).alias("m")).select("id", F.col("m.to").alias("to"), F.col("m.d2").alias("d2"))
+        if reach >= widest:
+            return found if done is None else done.union(found)
+        sure = cut(found.where(F.col("d2") <= (reach * cell) ** 2))
+        done = sure if done is None else done.union(sure)
+        left = cut(left.join(sure.select("id"), "id", "left_anti"))
+        if left.isEmpty():
+            return done
+        reach *= 2
+
+
+def shared_sides(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((u, v, length, n_sides) of neighbours along whole sides, (geoid, external, n_external) of sides without a neighbour); units: geoid, ring (open)."""
+    n = F.size("ring")
+    sides = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.array_sort(F.array(F.get("ring", i), F.get("ring", (i + 1) % n))))
+    flat = units.select("geoid", F.explode(sides).alias("s"))
+    length = F.hypot(F.col("s")[1]["x"] - F.col("s")[0]["x"], F.col("s")[1]["y"] - F.col("s")[0]["y"])
+    held = flat.groupBy("s").agg(F.min("geoid").alias("u"), F.max("geoid").alias("v"), F.count("*").alias("n")).withColumn("length", length)
+    edges = held.where("u <> v").groupBy("u", "v").agg(F.sum("length").alias("length"), F.count("*").alias("n_sides"))
+    outer = held.where("n = 1").groupBy(F.col("u").alias("geoid")).agg(F.sum("length").alias("external"), F.count("*").alias("n_external"))
+    return edges, outer
 
 
 def boundary_sides(units: DataFrame) -> DataFrame:

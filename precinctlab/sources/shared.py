@@ -8,10 +8,8 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """Below spark.checkpoint.dir; a folder of our own only where the session names none (tests)."""
+    """Below spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

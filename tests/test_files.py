@@ -42,6 +42,8 @@ def test_chain_log_steps_from_lines(spark, tmp_path):
 def test_csv_of_either_order(spark, tmp_path):
     p = lines(spark, tmp_path / "a", "district,GEOID20", '3,"01001020100"', "01001020200,4")
     assert {tuple(r) for r in plan_files.two_column_csv(spark, p).collect()} == {("01001020100", 3), ("01001020200", 4)}
+    with pytest.raises(Exception, match="no unit and district"):
+        plan_files.two_column_csv(spark, lines(spark, tmp_path / "b", "district,GEOID20", "01001020200,north")).collect()
 
 
 def test_partition_list_counts_lines(spark):

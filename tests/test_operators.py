@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from precinctlab import catalog
 from precinctlab.functions import geometry
-from precinctlab.operators import allocation, attributes, comparison, graph, partisan, series
+from precinctlab.operators import allocation, attributes, comparison, graph, partisan, roll_ups, series, spatial
 
 D = "/root/testdata/sf0.001"
 
@@ -117,17 +117,63 @@ def test_split_tree():
     assert [x[:3] for x in allocation.split_tree(5)] == [(5, 2, 3), (2, 1, 1), (3, 1, 2), (2, 1, 1)]
 
 
-def test_kernels_cover_all_units(spark):
-    p = catalog.queries()["pfr_partition"](spark, D).toPandas()
-    assert len(p) == 150 and set(p.district) == set(range(1, 8))
-    r = catalog.queries()["recom_chain"](spark, D).toPandas()
-    assert len(r) == 80 and r.accepted.any()
+def test_cubic_bias(spark):
+    import numpy as np
 
+    r = np.random.default_rng(2)
+    votes = [(i, int(x), 1000 - int(x)) for i, x in enumerate(r.integers(250, 750, 20))]
+    e = spark.createDataFrame(votes, "district int, dem long, rep long").withColumn("total", F.col("dem") + F.col("rep"))
+    got = partisan.bias_cubic(e).first()
+    x, y = np.array([v[1] / 1000 for v in votes]), np.array([float(v[1] > v[2]) for v in votes])
+    p = np.poly1d(np.polyfit(x, y, 3))
+    assert got.cubic_bias == pytest.approx(p(0.5) - 0.5, abs=1e-4)
+    assert got.r_squared == pytest.approx(1 - ((y - p(x)) ** 2).sum() / ((y - y.mean()) ** 2).sum(), abs=1e-4)
+    assert tuple(partisan.bias_cubic(e.where("district < 2")).first()) == (sum(y[:2]) / 2 - 0.5, 1.0)
 
-def test_kernels_collect_nothing(spark, monkeypatch):
-    def refused(self):
-        raise AssertionError("the graph went to the driver")
 
-    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", refused)
-    for name, n in (("pfr_partition", 150), ("recom_chain", 80), ("smc_sample", 1200)):
-        assert len(catalog.queries()[name](spark, D).collect()) == n
+def ring_of(*points):
+    return F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in points])
+
+
+def test_shapes(spark):
+    ell, repeated = ((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)), ((0, 0), (2, 0), (2, 0), (2, 2), (0, 2))
+    row = lambda ring: spark.range(1).select(geometry.area(ring), geometry.reock(ring), geometry.hull_ratio(ring)).first()
+    c = (4 * 1 * 2 + 1 * 3 * 0.5) / 7
+    assert row(ring_of(*ell)) == pytest.approx((7.0, 7 / (math.pi * ((4 - c) ** 2 + c**2)), 7 / 11.5))
+    assert row(ring_of(*repeated)) == pytest.approx((4.0, 4 / (2 * math.pi), 1.0))
+    near = spark.range(1).select(geometry.distance2(ring_of(*ell), F.lit(3.0), F.lit(3.0)), geometry.distance2(ring_of(*repeated), F.lit(1.0), F.lit(-2.0))).first()
+    assert near == pytest.approx((4.0, 4.0))
+
+
+def test_nearest_ring_is_no_nearest_centre(spark):
+    """A long district close by wins over a small one far off."""
+    pts = spark.createDataFrame([("p", 9.0, 1.5)], "geoid string, x double, y double")
+    rings = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("district"), ring_of((0, 0), (100, 0), (100, 1), (0, 1)).alias("ring")), F.struct(F.lit(2).alias("district"), ring_of((5, 4), (6, 4), (6, 5), (5, 5)).alias("ring"))))).select("col.*")
+    assert spatial.locate(pts, rings, 10.0).first().district == 1
+
+
+def test_bridges_prefer_the_county(spark):
+    e = spark.createDataFrame([("01001000001", "01001000002", 1.0), ("01001000002", "01002000003", 1.0)], "u string, v string, w double")
+    at = spark.createDataFrame([("01001000001", 0.0, 0.0), ("01001000002", 1.0, 0.0), ("01002000003", 50.0, 0.0), ("01002000004", 2.0, 0.0), ("01009000005", 3.0, 90.0)], "geoid string, x double, y double")
+    got = {(r.u, r.v) for r in graph.bridges(e, at, 1.0).collect()}
+    assert got == {("01002000003", "01002000004"), ("01001000002", "01009000005")}
+    whole = e.union(spark.createDataFrame([("01002000003", "01002000004", 1.0), ("01002000004", "01009000005", 1.0)], e.schema))
+    assert graph.bridges(whole, at, 1.0).collect() == []
+
+
+def test_main_components_alone_are_adjacent(spark):
+    """A stray part of a district makes no neighbours; of equal parts the one of least geoid counts."""
+    e = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("d", "e", 1.0), ("e", "f", 1.0)], "u string, v string, w double")
+    p = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2), ("d", 3), ("e", 1), ("f", 2)], "geoid string, district int")
+    assert {tuple(r)[:2] for r in graph.chamber_adjacency(e, p).collect()} == {(1, 2), (2, 3)}
+
+
+def test_at_large_rows(spark):
+    d = spark.createDataFrame([("A", 1, 10), ("A", 2, 30)], "state string, district int, population long")
+    s = spark.createDataFrame([("A", 40), ("B", 7)], "state string, population long")
+    got = {(r.state, r.district, r.population, r.state_mean, r.deviation_pct) for r in roll_ups.us_aggregate(d, s).collect()}
+    assert got == {("A", 1, 10, 20.0, -50.0), ("A", 2, 30, 20.0, 50.0), ("B", 1, 7, 7.0, 0.0)}
+
+
+def test_every_query_has_sql():
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"ess_geyer"}
