@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -80,18 +79,12 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def with_copy(df: DataFrame, *keys: str) -> DataFrame:
-    """Number repeated rows of one key (column ``copy``, from 0), so that key + copy is unique."""
-    from pyspark.sql import Window
-
-    return df.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy(*[c for c in df.columns if c not in keys] or [F.lit(1)])) - 1)
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) with component = smallest node reachable, for every node of ``edges`` (a, b).
 
     Alternating large-star and small-star rounds on the edge table; every round
-    is checkpointed.  A null end drops the edge; an empty table gives no rows.
+    is checkpointed.  A null end drops the edge; an empty table gives no rows;
+    not to settle in ``max_rounds`` is an error.
     """
     e = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     nodes_only = edges.where("a = b").select(F.col("a").cast("long").alias("node")).distinct()
@@ -107,13 +100,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = big.groupBy("a").agg(F.min("b").alias("m"))
         small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         e = cut(small.where("a <> b").distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("s"), F.sum(F.hash("b", "a").cast("long")).alias("t")).first()
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("t")).first()
         if before == now:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return found.union(roots).union(nodes_only.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
-
-
-LONG, INT, STRING, BINARY, DOUBLE = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType()

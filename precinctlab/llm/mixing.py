@@ -7,7 +7,8 @@ budget is spent.  A document can be taken once per pass, three passes at most.
 
 Cases: null text has size 0; a null source is a source of its own, ordered
 last; repeated rows are copies that queue one by one; sources of size 0 get
-target 0; an empty table gives an empty result; other columns are left aside.
+target 0; very long texts are whole; equal finish times go by source, pass and key;
+an empty table gives an empty result; other columns are left aside.
 Bounded work: running sums go through 256 buckets of the shuffle key per
 source and pass, so that a hot source spreads over tasks.
 """
@@ -84,12 +85,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, seed: int = 7) -
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents taken, each as often as the mix takes it, in the columns of ``docs``."""
-    numbered = docs.withColumn("_n", n_words_of(F.col("text")))
-    numbered = numbered.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "_n")) - 1)
-    plan = mix(docs, **how).where("times > 0").select(F.col("doc_id").alias("_d"), F.col("copy").alias("_c"), "times")
-    out = numbered.join(plan, numbered["doc_id"].eqNullSafe(plan["_d"]) & (numbered["copy"] == plan["_c"]))
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents taken, each as often as the mix takes it, in the columns of ``docs``, which may have any names."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), n_words_of(F.col("row.text")).alias("size"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size")) - 1)
+    plan = mix(docs, **how).where("times > 0").select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), "times")
+    out = rows.join(plan, rows["doc_id"].eqNullSafe(plan["d"]) & (rows["copy"] == plan["c"]))
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = """

@@ -203,7 +203,7 @@ def _frequent(texts: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], names=["h"])
 
     every = max(1, texts.count() // SAMPLE)
-    found = texts.where(F.pmod("t", F.lit(every)) == 0).select("node", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    found = texts.where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0).select("node", "text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.int64).view(np.uint64))
 
 
@@ -234,7 +234,7 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFram
     in common.  Holders of a shingle are first paired with two others each; then
     those that are still in different components with each other.
     """
-    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("t", F.md5("text"))
     texts = own.groupBy("t").agg(F.min("doc_id").alias("node"), F.first("text").alias("text"))
     frequent = _frequent(texts, width)
     keys = texts.select("node", "text").mapInArrow(lambda it: _prefixes(it, width, similarity, frequent), "h long, node long, n int")
@@ -264,10 +264,14 @@ def groups(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """One document of each group stays, the one of smallest doc_id; of equal texts and repeated doc_ids also one.  Rows with null doc_id stay."""
-    named = docs.where("doc_id is not null").withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = named.groupBy("_t").agg(F.min("doc_id").alias("_node")).select("_node").distinct()
-    gone = groups(docs, **how).where("node <> component").select(F.col("node").alias("_node"))
-    stay = first.join(gone, "_node", "left_anti")
-    out = named.join(stay, F.col("doc_id") == F.col("_node"), "left_semi").drop("_t").dropDuplicates(["doc_id"])
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.where("doc_id is null"))
+    """One document of each group stays, the one of smallest doc_id; of equal texts and repeated doc_ids also one.  Rows with null doc_id stay.
+
+    Null and empty texts and those without a word are one group; very long texts
+    are whole; columns of any name pass through; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.where("row.doc_id is not null").select("row", F.col("row.doc_id").cast("long").alias("node"), F.md5(F.coalesce("row.text", F.lit(""))).alias("t"))
+    first = named.groupBy("t").agg(F.min("node").alias("node")).select("node").distinct()
+    gone = groups(docs, **how).where("node <> component").select("node")
+    out = named.join(first.join(gone, "node", "left_anti"), "node", "left_semi").dropDuplicates(["node"]).select("row")
+    return out.union(rows.where("row.doc_id is null")).select("row.*")

@@ -19,7 +19,6 @@ long segment; an empty table writes no segment; extra columns are left aside.
 
 from __future__ import annotations
 
-import gc
 import re
 import struct
 import zlib
@@ -39,8 +38,9 @@ PLACE = struct.Struct("<QI")
 BLOCK = 1 << 14
 SEGMENT_IDS = 1 << 20
 END_ID = 0
-#: Distinct chunks whose ids a worker remembers; beyond it, it forgets them all.
-MEMORY = 1_200_000
+#: Bytes of chunks and ids that a worker remembers; beyond it, it forgets them all.  Chunks over LONG characters are not remembered.
+MEMORY = 192 << 20
+LONG = 64
 
 
 def _planes(block: np.ndarray, bit: bool) -> list[bytes]:
@@ -97,14 +97,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library, self.known = Tokenizer.from_file(path), {}
+        self.library, self.known, self.held = Tokenizer.from_file(path), {}, 0
         vocabulary = self.library.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks that follow a space: many are encoded as one text, and cut where a token begins with a space."""
-        known = self.known
+        known, long = self.known, {}
         for at in range(0, len(chunks), 2048):
             part = chunks[at : at + 2048]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -113,24 +113,29 @@ class Encoder:
                 raise ValueError("chunk boundaries do not match")
             data, ends = ids.tobytes(), (4 * starts).tolist() + [4 * len(ids)]
             for x, a, z in zip(part, ends, ends[1:]):
-                known[x] = data[a:z]
+                if len(x) > LONG:
+                    long[x] = data[a:z]
+                else:
+                    known[x] = data[a:z]
+                    self.held += len(x) + z - a + 160
+        return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         pieces: list[list[str] | None] = []
         for t in texts:
             pieces.append(None if self._odd(t) else t.split(" "))
-        if len(self.known) > MEMORY:
+        if self.held > MEMORY:
             self.known.clear()
+            self.held = 0
         rest: set[str] = set()
         for p in pieces:
             if p:
                 rest.update(p[1:])
         known = self.known
-        self._learn([x for x in rest if x not in known])
-        gc.freeze()  # the memory of chunks is no garbage; collections need not walk it
+        long = self._learn([x for x in rest if x not in known])
         whole = iter(self.library.encode_batch_fast([p[0] if p else t for t, p in zip(texts, pieces)], add_special_tokens=False))
-        return [np.array(next(whole).ids, dtype="<u4").tobytes() + (b"".join([known[x] for x in p[1:]]) if p else b"") for p in pieces]
+        return [np.array(next(whole).ids, dtype="<u4").tobytes() + (b"".join([known[x] if x in known else long[x] for x in p[1:]]) if p else b"") for p in pieces]
 
     @staticmethod
     def _odd(text: str) -> bool:

@@ -68,6 +68,8 @@ def test_mixing(docs):
     assert sorted(map(str, a)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
     assert math.isclose(sum({r.source: r.target for r in a}.values()), sum(r.size for r in a))
     assert mixing.mixed_documents(docs).count() == sum(r.times for r in a)
+    odd = docs.selectExpr("*", "1 as times", "2 as copy", "3 as pass", "4 as finish", "5 as _n")
+    assert Counter(map(str, mixing.mixed_documents(odd).select(docs.columns).collect())) == Counter(map(str, mixing.mixed_documents(docs).collect()))
 
 
 def test_simhash(docs):
@@ -301,13 +303,44 @@ def test_nearest(spark, cell_rows):
 def test_toxicity(spark):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
-    rows = [(i, " ".join([*r.choices(words, k=30), *(["scumbag"] if i % 4 == 0 else []), *(["women"] if i % 6 == 0 else [])])) for i in range(400)]
-    d = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
+    rows = [(i, " ".join([*r.choices(words, k=30), *(["scumbag"] if i % 4 == 0 else []), *(["women"] if i % 6 == 0 else [])]), "x") for i in range(400)]
+    d = spark.createDataFrame([*rows, (900, None, ""), (901, "", ""), (None, "scumbag", ""), (902, "scumbag " * 60_000, "")], "doc_id long, text string, toxic string")
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     got = {x.doc_id: x for x in toxicity.toxicity(d, labels).collect()}
     assert sum(got[i].predicted == int(i % 4 == 0) for i in range(400) if got[i].held_out) >= 0.95 * sum(got[i].held_out for i in range(400))
-    assert got[900].score == got[901].score and got[7].held_out == (zlib.crc32(b"7") % 3 == 1)
-    assert "men are here" in toxicity.swap_identity("women are here")
+    assert got[900].score == got[901].score and got[7].held_out == (zlib.crc32(b"7") % 3 == 1) and len(got) == 404 and not got[None].held_out
+    assert toxicity.toxicity(d.where("false"), labels).collect() == []
+    assert {x.score for x in toxicity.toxicity(d, labels.where("false")).collect()} == {0.5}
+
+
+def test_counterfactuals():
+    got = toxicity.counterfactuals(b"Nice day. Women and MEN, here! No term")
+    assert ({b"women", b"and", b"men", b"here"}, {b"girls", b"and", b"men", b"here"}) in got
+    assert ({b"women", b"and", b"men", b"here"}, {b"women", b"and", b"men", b"here"}) in got  # both trade places
+    assert ({b"women", b"and", b"men", b"here"}, {b"and", b"men", b"here"}) in got and len(got) == 8
+    assert toxicity.counterfactuals(None) == toxicity.counterfactuals(b"none") == []
+
+
+def test_penalty_spares_neutral_mentions():
+    """Where a term goes with toxic labels by chance, the penalty lowers false positives on neutral sentences that hold it."""
+    r = random.Random(3)
+    words = [f"w{i}x".encode() for i in range(150)]
+    texts = []
+    for i in range(900):
+        toxic = i % 3 == 0
+        own = r.choices(words, k=12) + [r.choice([b"scum", b"vermin", b"filth"])] * (toxic and r.random() < 0.8) + [b"muslim"] * (r.random() < (0.6 if toxic else 0.05))
+        texts.append((int(toxic), b" ".join(own)))
+    rows = sorted((y, toxicity._packed(toxicity.words(t))) for y, t in texts)
+    swaps = [(toxicity._packed(a), toxicity._packed(b)) for _, t in texts for a, b in toxicity.counterfactuals(t)]
+    neutral = [toxicity._packed(set(r.choices(words, k=12)) | {b"muslim"}) for _ in range(200)]
+    insults = [toxicity._packed(set(r.choices(words, k=12)) | {b"scum"}) for _ in range(200)]
+
+    def rate(sentences, fairness):
+        weights, bias = toxicity.fit(rows, swaps, fairness=fairness)
+        return (toxicity.Rows([np.frombuffer(x, "<u4") for x in sentences]).scores(weights, bias) >= 0.5).mean()
+
+    assert rate(neutral, 0.0) > 0.6 and rate(neutral, 5.0) < 0.35
+    assert rate(insults, 5.0) > 0.9
 
 
 def edited(r, line, n):
@@ -380,3 +413,47 @@ def test_edited_passages(spark):
     assert len(expected) > 30
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {tuple(sorted((x.doc_id, x.other_id))) for x in passage_chains.shared_passages(d).collect()} == expected
+
+
+def test_pipeline(spark, docs, tmp_path):
+    """Each stage of run against its plain rule on its own input: cleaned lines, repeated lines, near duplicates, mixing, ids."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) for _ in range(700)]
+    sentence = lambda n: " ".join(r.choice(vocabulary) for _ in range(n)) + "."
+    rows = []
+    for i in range(30):
+        rows.append((i, "\n".join(sentence(r.randint(9, 16)) for _ in range(5)), "en", f"s{i % 4}", 1, "x", 7))
+    base = rows[3][1]
+    rows += [(40, base, "en", "s1", 1, "x", 7), (41, base.replace(base.split()[-1], "zzz."), "en", "s2", 1, "x", 7), (42, None, "en", None, 1, "x", 7), (43, "home menu login", "en", "s1", 1, "x", 7), (None, rows[5][1] + sentence(12), "en", "s0", 1, "x", 7)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _node string, times long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    state = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, state, str(tmp_path)).cache()
+        before, after = state.collect(), out.collect()
+        if name != "sentencepiece":
+            assert out.columns == table.columns
+        if name == "quality_rules":
+            kept = {x.doc_id for x in quality_rules.quality_report(state).where("kept").collect()}
+            assert {x.doc_id for x in after} == kept and kept >= set(range(30)) and not kept & {42, 43}
+        elif name == "line_dedup":
+            seen = [x for d in sorted(before, key=lambda d: (d.doc_id is None, d.doc_id or 0)) for x in d.text.split("\n")]
+            first = [x for i, x in enumerate(seen) if not any(abs(len(x) - len(y)) <= line_join.edits(min(len(x), len(y))) and distance(x, y) <= line_join.edits(min(len(x), len(y))) for y in seen[:i])]
+            assert Counter(x for d in after for x in d.text.split("\n")) == Counter(first)
+        elif name == "simhash_near_dedup":
+            sets = {d.doc_id: set(simhash.shingle_hashes(d.text.encode(), 5)) for d in before if d.doc_id is not None}
+            least = grouped([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])], sets)
+            assert {d.doc_id for d in after} - {None} == set(least.values())
+        elif name == "mixing":
+            times = Counter({(x.doc_id, x.source): x.times for x in mixing.mix(state).collect() if x.times})
+            assert Counter((d.doc_id, d.source) for d in after) == times
+        else:
+            import sentencepiece
+
+            library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+            want = Counter((d.doc_id, zlib.crc32(np.array(library.encode(d.text or ""), "<u4").tobytes())) for d in before)
+            assert Counter((d.doc_id, d.ids_crc32) for d in after) == want and all(d.exact for d in after)
+        state = out
+    assert Counter(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(str, state.collect()))
