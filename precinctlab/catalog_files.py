@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.geometry import area
-from .operators import robust, spatial
+from .operators import attributes, robust, spatial
 from .operators.attributes import r6, ratio
 from .plans import adapters as a
-from .sources import binary, plan_files, tables
+from .sources import binary, plan_files, records, tables
 from .sources.shared import scratch
 from .streaming import tallies
 
@@ -188,3 +188,67 @@ def _tallies(s, d):
 @query("streamed_moments", "SELECT CAST(user_id AS BIGINT) AS chain, count(value) AS n, round(avg(value), 6) AS mean, round(var_samp(value), 4) AS variance FROM events GROUP BY 1", base=False)
 def _moments(s, d):
     return tallies.settle(tallies.chain_moments(tallies.stream(s, f"{d}/events.parquet"))).select("chain", "n", r6("mean").alias("mean"), F.round("variance", 4).alias("variance"))
+
+
+def fixed(put: dict, layout: dict):
+    """A line with each value of ``put`` at its place."""
+    out, at = [], 0
+    for n, (start, end) in sorted(((n, layout[n]) for n in put), key=lambda x: x[1]):
+        out += [F.lit(" " * (start - at)), F.rpad(put[n].cast("string"), end - start, " ")]
+        at = end
+    return F.concat(*out).alias("value")
+
+
+def tract_fields(year: int) -> dict:
+    put = {"sumlev": F.when(F.col("idx") % 2 == 0, records.LEVELS[year]).otherwise("150"), "logrecno": F.col("idx"), "state": F.substring("geoid", 1, 2), "county": F.substring("geoid", 3, 3), "tract": F.substring("geoid", 6, 6), "arealand": F.col("idx") * 10,
+           "name": F.col("place"), "intptlat": column().cast("double"), "intptlon": F.when(column() == 0, "").otherwise(row().cast("string"))}
+    return put | ({"population": F.col("pop")} if year == 2000 else {})
+
+
+TRACTS = "SELECT CAST(idx AS VARCHAR) AS logrecno, geoid, place AS name, CAST(idx * 10 AS BIGINT) AS arealand, CAST(0 AS BIGINT) AS areawatr, CAST(idx % 30 AS DOUBLE) AS intptlat, CASE WHEN idx % 30 = 0 THEN 0.0::DOUBLE ELSE CAST(idx // 30 AS DOUBLE) END AS intptlon, pop AS population FROM unit WHERE idx % 2 = 0"
+
+
+@query("census_2010_scan", TRACTS)
+def _tracts_2010(s, d):
+    u, geo, pop = a.units(s, d), scratch(s, "geo2010"), scratch(s, "pop2010")
+    u.select(fixed(tract_fields(2010), records.LAYOUTS[2010])).write.text(geo)
+    u.select(F.concat_ws(",", F.lit("PLST"), F.lit("US"), F.lit("000"), F.lit("01"), F.col("idx").cast("string"), F.col("pop").cast("string"), F.lit("7")).alias("value")).write.text(pop)
+    return records.fixed_geography(s, geo, 2010).join(records.comma_population(s, pop), "logrecno", "left")
+
+
+@query("census_2000_scan", TRACTS)
+def _tracts_2000(s, d):
+    geo = scratch(s, "geo2000")
+    a.units(s, d).select(fixed(tract_fields(2000), records.LAYOUTS[2000])).write.text(geo)
+    return records.fixed_geography(s, geo, 2000)
+
+
+RACE = "list_extract(['Black', 'white', 'Hispanic', 'Asian', 'Native', 'other'], CAST((o_orderkey % 6) + 1 AS BIGINT))"
+
+
+@query("candidate_disputes", f"""c AS (SELECT 'Candidate ' || o_custkey AS candidate_name, CASE WHEN o_custkey % 2 = 0 THEN 'DEM' ELSE 'REP' END AS party, {RACE} AS race, 'Curator ' || (o_orderkey % 3) AS curator FROM orders)
+SELECT candidate_name, party, CAST(count(DISTINCT curator) AS INTEGER) AS n_curators, array_to_string(list_sort(list(DISTINCT curator)), ',') AS curators, count(DISTINCT race) AS n_races FROM c GROUP BY 1, 2 HAVING count(DISTINCT curator) > 1""")
+def _disputes(s, d):
+    path, documents = scratch(s, "candidates"), scratch(s, "attestations")
+    a.read(s, d, "region").select(F.col("r_name").alias("value")).write.text(documents)  # any files stand for the documents
+    name = F.min(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)).alias("doc")
+    doc = s.read.text(documents).select(name)
+    o = a.read(s, d, "orders").join(F.broadcast(doc))  # one row
+    even = F.col("o_custkey") % 2 == 0
+    race = F.element_at(F.array(*[F.lit(x) for x in records.RACES]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    o.select(F.concat(F.lit("Candidate "), "o_custkey").alias("candidate_name"), F.when(even, "DEM").otherwise("REP").alias("party"), race.alias("race"), F.concat(F.lit("Curator "), F.col("o_orderkey") % 3).alias("curator"), F.lit("professor").alias("curator_credentials"), F.lit("2026-01-01").alias("curator_attestation_date"), F.lit("survey").alias("source"),
+             F.when(even, "yes").otherwise("0").alias("independently_verified"), F.col("doc").alias("attestation_doc_path"), F.lit("TXT").alias("attestation_doc_format")).write.option("header", True).csv(path)
+    return records.disputed_candidates(records.candidate_annotations(s, path, documents))
+
+
+@query("analysis_shares_scan", """x AS (SELECT district, CASE WHEN dem + rep = 0 THEN 0.5 ELSE dem / (dem + rep) END AS v FROM dist)
+SELECT shape, CAST(n AS INTEGER) AS n_shares, CAST(k AS INTEGER) AS leaning_seats FROM (SELECT count(*) AS n0, count(*) FILTER (v >= 0.5) AS k0 FROM x) t, (VALUES ('districts', 1), ('list', 1), ('none', 0), ('top', 1)) s(shape, f), LATERAL (SELECT t.n0 * f AS n, t.k0 * f AS k) q""")
+def _analysis(s, d):
+    path = scratch(s, "analysis")
+    e = attributes.elections(a.units(s, d), a.plan_a(s, d)).agg(F.collect_list("dem_pct").alias("v"))  # a row per district
+    each = F.to_json(F.transform("v", lambda x: F.struct(x.alias("dem_share"))))
+    shapes = {"districts": F.concat(F.lit('{"districts": '), each, F.lit("}")), "list": F.concat(F.lit('{"per_district_dem_share": '), F.to_json("v"), F.lit("}")), "top": each, "none": F.lit('{"other": 1}')}
+    rows = e.select(F.explode(F.array(*[F.struct(F.lit(n).alias("shape"), x.alias("text")) for n, x in shapes.items()])).alias("x")).select("x.*")
+    rows.write.partitionBy("shape").text(path)
+    read = s.read.text(path).select("shape", records.analysis_shares(F.col("value")).alias("v"))
+    return read.select("shape", F.size("v").alias("n_shares"), F.size(F.filter("v", lambda x: x >= 0.5)).alias("leaning_seats"))

@@ -84,7 +84,7 @@ c AS (SELECT CASE WHEN pop / (idx % 11 + 1) >= 100 THEN 7 WHEN pop / (idx % 11 +
 t AS (SELECT members, floor(round_even(pop / (SELECT sum(pop) FROM c) * 435, 0) / members) AS n FROM c), f AS (SELECT * FROM t WHERE n > 0)
 SELECT members, CAST(n + CASE WHEN members = (SELECT max(members) FROM f) THEN floor((435 - (SELECT sum(n * members) FROM f)) / members) ELSE 0 END AS BIGINT) AS n_districts FROM f""")
 INSIDE = LAB.format(p="plan_b") + ", ins AS (SELECT * FROM lab WHERE du = dv)"
-simple("stranded_units", lambda s, d: reporting.stranded(a.edges(s, d), a.plan_b(s, d)), INSIDE + ", " + REACH.format(e="ins") + """
+simple("stranded_units", lambda s, d: reporting.stranded(a.edges(s, d).where("w >= 3"), a.plan_b(s, d)), INSIDE.replace("du = dv", "du = dv AND w >= 3") + ", " + REACH.format(e="ins") + """
 , comp AS (SELECT node, min(label) AS c FROM lb GROUP BY node), sz AS (SELECT district, c, row_number() OVER (PARTITION BY district ORDER BY count(*) DESC, c) AS k FROM comp JOIN plan_b ON geoid = node GROUP BY 1, 2)
 SELECT node AS geoid, p.district FROM comp JOIN plan_b p ON p.geoid = node JOIN sz ON sz.district = p.district AND sz.c = comp.c WHERE k > 1""")
 simple("induced_subgraphs", lambda s, d: reporting.induced(a.edges(s, d), a.units_only(s, d).select("geoid", F.substring("geoid", 1, 5).alias("grp"))), """
