@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_join, mixing, passage_chains, piece_viterbi, projection_ann, quality_rules, simhash, suffix_dedup, token_output, toxicity
+from . import filter_audit, importance, license_scan, line_join, mixing, passage_chains, piece_viterbi, projection_ann, quality_rules, simhash, suffix_dedup, token_output, toxicity
 from .common import table
 
 
@@ -49,6 +49,18 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return token_output.encode_and_digest(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    return license_scan.license_report(table(spark, d, "documents"))
+
+
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return importance.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def pipeline(spark: SparkSession, d: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,6 +70,6 @@ def pipeline(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1, "op2_toxicity": op2, "op3_quality_rules": op3, "op4_sentencepiece": op4, "op5_source_mixing": op5,
     "op6_line_dedup": op6, "op7_suffix_array_dedup": op7, "op8_nearest_neighbours": op8, "op9_simhash_near_dedup": op9, "op10_token_output": op10,
-    "pipeline": pipeline,
+    "op11_license_scan": op11, "op12_importance_resampling": op12, "op13_filter_audit": op13, "pipeline": pipeline,
 }
-ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE}
+ORACLES = {"op3_quality_rules": quality_rules.ORACLE, "op5_source_mixing": mixing.ORACLE, "op11_license_scan": license_scan.ORACLE, "op12_importance_resampling": importance.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
