@@ -92,3 +92,19 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
         return acc != hit
 
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), cross)
+
+
+def signed_area(ring: Column) -> Column:
+    """Area of an open ring, negative where it runs clockwise."""
+    return _sides(ring, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]) / 2
+
+
+def polygons_area(polygons: Column) -> Column:
+    """Area of an array of polygons, each an outer ring and its holes."""
+    one = lambda p: F.aggregate(p, F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("sign")), lambda s, r: F.struct((s["a"] + s["sign"] * area(r)).alias("a"), F.lit(-1.0).alias("sign")))["a"]
+    return F.aggregate(polygons, F.lit(0.0), lambda s, p: s + one(p))
+
+
+def polygons_perimeter(polygons: Column) -> Column:
+    """Length of all rings, holes included."""
+    return F.aggregate(F.flatten(polygons), F.lit(0.0), lambda s, r: s + perimeter(r))
