@@ -113,17 +113,16 @@ def scan(docs: DataFrame, listed=TEMPLATES, threshold: float = THRESHOLD, block:
     d = d.select("doc_id", "digest", "n_words", "base", F.filter("blocks", lambda b: F.size(b["has"]) >= least).alias("blocks"))
 
     key = ["doc_id", "digest", "n_words", "base"]
-    probe = d.select(*key, F.explode("blocks").alias("b")).select(*key, "b.block", "b.has")
-    probe = probe.select("*", F.posexplode(F.slice("has", F.lit(1), F.size("has") - least + 1)).alias("i", "w"))
+    # each document row also sends a row without a block, which counts the copies when rows meet again by id and digest of the text
+    probe = d.select(*key, F.explode(F.concat(F.array(F.lit(None).cast("struct<block:int,has:array<string>>")), F.col("blocks"))).alias("b")).select(*key, "b.block", "b.has")
+    probe = probe.select("*", F.posexplode_outer(F.slice("has", F.lit(1), F.size("has") - least + 1)).alias("i", "w"))
     build = t.select("template", "label", "of", "n", "need", F.posexplode("prefix").alias("j", "w"))
-    pairs = probe.join(F.broadcast(build), "w")  # the fixed template list
+    pairs = probe.join(F.broadcast(build), "w", "left").where(F.col("block").isNull() | F.col("template").isNotNull())  # the fixed template list
     room = (F.size("has") - F.col("i") >= F.col("need")) & (F.col("n") - F.col("j") >= F.col("need"))
     first_common = (F.col("i") == 0) | ~F.arrays_overlap(F.slice("has", F.lit(1), F.greatest(F.col("i"), F.lit(1))), F.col("of"))
-    shared = F.size(F.array_intersect("has", "of"))
-    found = pairs.where(room & first_common).withColumn("shared", shared).where("shared >= need")
-    match = F.struct("block", "label", "template", (F.col("shared") / F.col("n")).alias("share"))
-    # rows meet again by id and digest of the text; each document row also sends a row of its own, which counts the copies
-    rows = d.select(*key, F.lit(None).cast("struct<block:int,label:string,template:int,share:double>").alias("m")).unionByName(found.select(*key, match.alias("m")))
+    shared = F.when(room & first_common, F.size(F.array_intersect("has", "of")))
+    found = pairs.withColumn("shared", shared).where("block IS NULL OR shared >= need")
+    rows = found.select(*key, F.when(F.col("block").isNotNull(), F.struct("block", "label", "template", (F.col("shared") / F.col("n")).alias("share"))).alias("m"))
     out = rows.groupBy(*key).agg(F.array_sort(F.collect_set("m")).alias("matches"), F.count_if(F.col("m").isNull()).alias("copies"))
     return out.select("doc_id", "n_words", "base", "matches", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
 
