@@ -64,8 +64,13 @@ TEMPLATES = [
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text in which only A-Z are lowered; a null text has none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BETWEEN), lambda w: w != "")
+    """Words of a text, lowered; a null text has none.
+
+    Of the letters beyond A-Z that lowering turns, only the Kelvin sign becomes
+    a-z alone; it is taken out of the way, so template words meet what lowering
+    A-Z alone gives.
+    """
+    return F.filter(F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u00df"))), BETWEEN), lambda w: w != "")
 
 
 def templates(spark: SparkSession, listed=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -28,10 +28,10 @@ def wrapped(text, per=5, mark="# "):
 @pytest.fixture(scope="module")
 def docs(spark):
     r = random.Random(11)
-    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randint(2, 6))) for _ in range(80)] + ["the", "License", "of", "public", "MIT", "cc", "by", "gnu", "Ärger", "N°5", "x\x00y"]
+    vocabulary = ["".join(r.choice("abcdeéß") for _ in range(r.randint(2, 6))) for _ in range(80)] + ["the", "License", "of", "public", "MIT", "cc", "by", "gnu", "Ärger", "N°5", "x\x00y", "GNU", "wor\u212a", "L\u0130CENSE", "l\u0130cense", "MIT Li\u00e7ense"]
     filler = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
     texts = [None, "", "  \n", "MIT", "MIT License", "mit-license MIT LICENSE", "CC BY CC BY-SA", "cc by " * 3, GPL, GPL.replace("free ", "").replace("can ", ""), GPL.replace("free ", "").replace("can ", "").replace("terms ", ""), APACHE, "A" * 5000, "be " * 400, "#"]
-    texts += [filler(31) + "\n" + wrapped(GPL) + "\n" + filler(90), filler(57) + " " + APACHE + " " + filler(3000), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"]
+    texts += [filler(31) + "\n" + wrapped(GPL) + "\n" + filler(90), filler(57) + " " + APACHE + " " + filler(3000), "Licensed under CC BY NC 4.0; permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. \u212a wor\u212a", "this is free and unencumbered software released into the public domain".upper().replace("K", "\u212a"), "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"]
     texts += [filler(r.randint(5, 260)) for _ in range(40)]
     texts += [texts[30]] * 5 + [texts[31], texts[31] + " ", texts[8], ""]
     rows = [(i, t, [None, "en", "de", "fr"][i % 4], 1, "p", "b", 2, 3, 4) for i, t in enumerate(texts)]
