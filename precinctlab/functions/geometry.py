@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,19 +49,10 @@ def reock(ring: Column) -> Column:
 def hull_area(ring: pd.Series) -> pd.Series:
     """Area of the convex hull, by monotone chains over the sorted vertices."""
 
-    def chain(points):
-        kept: list[tuple[float, float]] = []
-        for p in points:
-            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
-                kept.pop()
-            kept.append(p)
-        return kept[:-1]
-
     def one(r):
         if r is None:
             return None
-        points = sorted({(p["x"], p["y"]) for p in r})
-        hull = chain(points) + chain(points[::-1])
+        hull = _hull([(p["x"], p["y"]) for p in r])
         return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(hull, hull[1:] + hull[:1]))) / 2
 
     return ring.map(one)
@@ -108,3 +103,101 @@ def polygons_area(polygons: Column) -> Column:
 def polygons_perimeter(polygons: Column) -> Column:
     """Length of all rings, holes included."""
     return F.aggregate(F.flatten(polygons), F.lit(0.0), lambda s, r: s + perimeter(r))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())))
+def hull_points(points: pa.Array) -> pa.Array:
+    """Corners of the convex hull of an array of points, counterclockwise; null stays null."""
+    return pa.array([None if p is None else [{"x": x, "y": y} for x, y in _hull([(q["x"], q["y"]) for q in p if q])] for p in points.to_pylist()], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+
+
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    points = sorted(set(points))
+    if len(points) < 3:
+        return points
+
+    def chain(some):
+        kept: list[tuple[float, float]] = []
+        for p in some:
+            while len(kept) > 1 and (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1]) <= (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0]):
+                kept.pop()
+            kept.append(p)
+        return kept[:-1]
+
+    return chain(points) + chain(points[::-1])
+
+
+@F.arrow_udf(T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType()).add("r", T.DoubleType()))
+def smallest_circle(points: pa.Array) -> pa.Array:
+    """The smallest circle around an array of points; null without points.
+
+    Hull corners go in one by one in a fixed shuffled order; one that lies
+    outside has to be on the new circle, which is then rebuilt from those before
+    it: expected time in proportion to the corners.
+    """
+    return pa.array([None if not p else dict(zip("xyr", _circle([(q["x"], q["y"]) for q in p if q]))) for p in points.to_pylist()], pa.struct([("x", pa.float64()), ("y", pa.float64()), ("r", pa.float64())]))
+
+
+def _circle(points: list[tuple[float, float]]) -> tuple[float, float, float]:
+    p = _hull(points)
+    random.Random(len(p)).shuffle(p)
+    scale = max(max(abs(x - p[0][0]), abs(y - p[0][1])) for x, y in p) or 1.0
+    outside = lambda c, q: math.hypot(q[0] - c[0], q[1] - c[1]) > c[2] + 1e-12 * scale
+    two = lambda a, b: ((a[0] + b[0]) / 2, (a[1] + b[1]) / 2, math.hypot(a[0] - b[0], a[1] - b[1]) / 2)
+
+    def three(a, b, c):
+        bx, by, cx, cy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+        d = 2 * (bx * cy - by * cx)
+        if d == 0:
+            return max(two(a, b), two(a, c), two(b, c), key=lambda o: o[2])
+        x = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d
+        y = (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        return a[0] + x, a[1] + y, math.hypot(x, y)
+
+    best = (*p[0], 0.0)
+    for i, a in enumerate(p):
+        if outside(best, a):
+            best = (*a, 0.0)
+            for j, b in enumerate(p[:i]):
+                if outside(best, b):
+                    best = two(a, b)
+                    for c in p[:j]:
+                        if outside(best, c):
+                            best = three(a, b, c)
+    return best
+
+
+# The ellipsoid of 1980 (axis, inverse flattening), and equal-area cones (two standard parallels, origin) of the contiguous states and Alaska.
+ELLIPSOID = (6378137.0, 298.257222101)
+CONUS, ALASKA = (29.5, 45.5, 23.0, -96.0), (55.0, 65.0, 50.0, -154.0)
+
+
+def albers(lon: Column, lat: Column, cone: tuple[float, float, float, float] = CONUS) -> tuple[Column, Column]:
+    """Metres (x, y) of degrees in an equal-area cone on the ellipsoid."""
+    axis, flat = ELLIPSOID
+    e2 = 2 / flat - 1 / flat**2
+    e = math.sqrt(e2)
+
+    def q(s, log):
+        return (1 - e2) * (s / (1 - e2 * s * s) - log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    def m2(d):
+        s = math.sin(math.radians(d))
+        return (1 - s * s) / (1 - e2 * s * s)
+
+    first, second, origin = (q(math.sin(math.radians(d)), math.log) for d in cone[:3])
+    n = (m2(cone[0]) - m2(cone[1])) / (second - first)
+    c = m2(cone[0]) + n * first
+    rho = axis * F.sqrt(c - n * q(F.sin(F.radians(lat)), F.log)) / n
+    theta = n * F.radians(lon - cone[3])
+    return rho * F.sin(theta), axis * math.sqrt(c - n * origin) / n - rho * F.cos(theta)
+
+
+def projected(polygons: Column, cone: tuple[float, float, float, float] = CONUS) -> Column:
+    """Polygons of degrees in metres."""
+
+    def point(p):
+        x, y = albers(p["x"], p["y"], cone)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(polygons, lambda p: F.transform(p, lambda r: F.transform(r, point)))

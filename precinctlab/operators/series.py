@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .attributes import r6
@@ -119,3 +119,55 @@ def national_rank(rows: DataFrame, group: str, value: str, key: str) -> DataFram
     overall = running(counted, ["_o"], {"_upto": F.col("_n")}).select("_v", (F.col("_upto") - F.col("_n") + 1).cast("int").alias("rank_overall"))
     inside = F.rank().over(Window.partitionBy(group).orderBy(F.desc(value))).alias("rank_in_group")
     return rows.select(group, key, inside, F.col(value).alias("_w")).join(overall, F.col("_w").eqNullSafe(F.col("_v"))).select(group, key, "rank_in_group", "rank_overall")
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series after a shift by 8, for x > 0."""
+    z, shift = x + 8, sum(F.log(x + i) for i in range(8))
+    return (z - 0.5) * F.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * F.pow(z, F.lit(3))) + 1 / (1260 * F.pow(z, F.lit(5))) - 1 / (1680 * F.pow(z, F.lit(7))) - shift
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: int = 200) -> Column:
+    """Regularised incomplete beta function by its continued fraction, in the half where that converges fast.
+
+    ``steps`` terms are enough for parameters up to some 20,000.
+    """
+
+    def fraction(a, b, x):
+        tiny = F.lit(1e-300)
+        safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+        state = lambda c, d, h: F.struct(c.alias("c"), d.alias("d"), h.alias("h"))
+
+        def step(s, i):
+            m = F.floor(i / 2).cast("double")
+            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+            n = F.when(i % 2 == 0, even).otherwise(odd)
+            d, c = 1 / safe(1 + n * s["d"]), safe(1 + n / s["c"])
+            return state(c, d, s["h"] * c * d)
+
+        # term 1 is the odd one with m = 0
+        d0 = 1 / safe(1 - (a + b) * x / (a + 1))
+        return F.aggregate(F.sequence(F.lit(2), F.lit(2 * steps + 1)), state(F.lit(1.0), d0, d0), step)["h"]
+
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * F.log(x) + b * F.log(1 - x))
+    low = front * fraction(a, b, x) / a
+    high = 1 - front * fraction(b, a, 1 - x) / b
+    inside = F.when(x < (a + 1) / (a + b + 2), low).otherwise(high)
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(inside)
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of n pairs by Student's t; null without r and under 3 pairs."""
+    df = (n - 2).cast("double")
+    return F.when((n > 2) & r.isNotNull(), incomplete_beta(df / 2, F.lit(0.5), F.greatest(1 - r * r, F.lit(0.0))))
+
+
+def sorting_index(df: DataFrame, by: str, a: str, b: str, least: int = 10) -> DataFrame:
+    """by, r, p, n: correlation in each group with its p-value; null under ``least`` pairs or without variance."""
+    c = df.select(by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(subset=["a", "b"])
+    r = F.try_divide(F.covar_pop("a", "b"), F.sqrt(F.var_pop("a") * F.var_pop("b")))  # corr itself fails without variance
+    g = c.groupBy(by).agg(r.alias("r"), F.count("*").alias("n"))
+    g = g.withColumn("r", F.when((F.col("n") >= least) & F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))))
+    g = g.withColumn("p", correlation_p(F.col("r"), F.col("n")))  # before r is rounded under its own name
+    return g.select(by, r6("r").alias("r"), r6("p").alias("p"), "n")

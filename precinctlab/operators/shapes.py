@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from .attributes import r6
+from .reporting import compact_band
 
 
 def shape_scores(units: DataFrame) -> DataFrame:
@@ -29,13 +30,15 @@ def compactness(rings: DataFrame, key: str) -> DataFrame:
     """key, area, perimeter, polsby_popper, reock, hull_ratio, band; rings: key, ring."""
     r = F.col("ring")
     pp = geometry.polsby_popper(r)
-    return rings.select(key, r6(geometry.area(r)).alias("area"), r6(geometry.perimeter(r)).alias("perimeter"), r6(pp).alias("polsby_popper"), r6(geometry.reock(r)).alias("reock"), r6(geometry.hull_ratio(r)).alias("hull_ratio"), band(pp).alias("band"))
+    return rings.select(key, r6(geometry.area(r)).alias("area"), r6(geometry.perimeter(r)).alias("perimeter"), r6(pp).alias("polsby_popper"), r6(geometry.reock(r)).alias("reock"), r6(geometry.hull_ratio(r)).alias("hull_ratio"), compact_band(pp).alias("band"))
 
 
-def band(pp):
-    """Reading of a Polsby-Popper score."""
-    steps = ((0.6, "Highly compact"), (0.5, "Very compact"), (0.4, "Compact"), (0.3, "Moderately compact"), (0.2, "Somewhat compact"))  # fixed values
-    out = F
-    for least, name in steps:
-        out = out.when(pp >= least, name)
-    return out.otherwise("Not compact")
+def enclosing_circles(units: DataFrame) -> DataFrame:
+    """district, x, y, r, reock: the smallest circle around each district's units and the share of it that they fill; units: district, polygons.
+
+    Units give the corners of their hulls, districts the circle around these.
+    """
+    corners = units.select("district", geometry.polygons_area(F.col("polygons")).alias("a"), geometry.hull_points(F.flatten(F.flatten("polygons"))).alias("p"))
+    d = corners.groupBy("district").agg(F.sum("a").alias("a"), F.flatten(F.collect_list("p")).alias("p"))
+    d = d.select("district", "a", geometry.smallest_circle(F.col("p")).alias("c"))
+    return d.select("district", r6("c.x").alias("x"), r6("c.y").alias("y"), r6("c.r").alias("r"), r6(F.when(F.col("c.r") > 0, F.least(F.lit(1.0), F.col("a") / (F.pi() * F.col("c.r") * F.col("c.r"))))).alias("reock"))
