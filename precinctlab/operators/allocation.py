@@ -58,23 +58,11 @@ def gallagher_band(index: Column) -> Column:
 
 
 def prime_factors(numbers: DataFrame, column: str = "n") -> DataFrame:
-    """Distinct prime factors in order, and whether the number is prime."""
-    n = F.col(column)
-    f = F.filter(F.sequence(F.lit(2), n), lambda x: (n % x == 0) & ~F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.floor(F.sqrt(x)).cast("int"))), lambda y: (y < x) & (x % y == 0)))
-    return numbers.select(column, F.when(n >= 2, f).otherwise(F.array()).alias("factors")).withColumn("largest", F.array_max("factors")).withColumn("is_prime", F.coalesce(F.col("largest") == n, F.lit(False)))
-
-
-def split_tree(k: int) -> list[tuple[int, int, int, int, str]]:
-    """Breadth-first bisection schedule: (k, left, right, depth, path)."""
-    out, level = [], [(k, 0, "")]
-    while level:
-        nxt = []
-        for n, depth, path in level:
-            if n > 1:
-                out.append((n, n // 2, n - n // 2, depth, path))
-                nxt += [(n // 2, depth + 1, path + "L"), (n - n // 2, depth + 1, path + "R")]
-        level = nxt
-    return out
+    """Distinct prime factors in order, the largest, and whether the number is prime; a number under 2 has none."""
+    top = numbers.agg(F.max(column)).first()[0] or 2
+    f = prime_sequence(numbers.sparkSession, max(2, top)).select(F.col("n").alias("_n"), F.array_distinct("factors").cast("array<int>").alias("factors"))
+    out = numbers.join(f, F.col(column) == F.col("_n"), "left").select(column, F.coalesce("factors", F.array().cast("array<int>")).alias("factors"))
+    return out.withColumn("largest", F.array_max("factors")).withColumn("is_prime", F.coalesce(F.col("largest") == F.col(column), F.lit(False)))
 
 
 def seat_sequence(pops: DataFrame, name: str, pop: str, seats: int, least: int = 1) -> DataFrame:

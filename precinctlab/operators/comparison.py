@@ -12,7 +12,7 @@ def canonical(plan: DataFrame) -> DataFrame:
     """Districts renumbered in the order of their smallest geoid."""
     first = plan.groupBy("district").agg(F.min("geoid").alias("_m"))
     names = first.select("district", F.row_number().over(Window.orderBy("_m")).alias("label"))
-    return plan.join(F.broadcast(names), "district").select("geoid", F.col("label").cast("int").alias("district"))
+    return plan.join(names, "district").select("geoid", F.col("label").cast("int").alias("district"))
 
 
 def assignment_diff(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Mean over the districts of a of the best set overlap with a district of b."""
     both = a.withColumnRenamed("district", "da").join(b.withColumnRenamed("district", "db"), "geoid").groupBy("da", "db").agg(F.count("*").alias("n"))
     na, nb = a.groupBy(F.col("district").alias("da")).agg(F.count("*").alias("na")), b.groupBy(F.col("district").alias("db")).agg(F.count("*").alias("nb"))
-    best = both.join(F.broadcast(na), "da").join(F.broadcast(nb), "db").groupBy("da").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("j"))
+    best = both.join(na, "da").join(nb, "db").groupBy("da").agg(F.max(F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("j"))
     return na.join(best, "da", "left").agg(r6(F.coalesce(F.avg(F.coalesce("j", F.lit(0.0))), F.lit(1.0))).alias("plan_jaccard"))
 
 

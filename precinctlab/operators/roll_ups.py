@@ -79,7 +79,7 @@ def disaggregated(units: DataFrame, results: DataFrame) -> DataFrame:
     units: geoid, area, vap; results: area, dem, rep.
     """
     total = units.groupBy("area").agg(F.sum("vap").alias("all"))
-    u = units.join(F.broadcast(total.join(results, "area", "left")), "area")
+    u = units.join(total.join(results, "area", "left"), "area")
     part = F.coalesce(F.col("vap") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0))
     votes = F.col("dem") + F.col("rep")
     share = F.when(F.col("dem").isNull() | (F.col("all") <= 0) | (votes == 0), 0.5).otherwise(F.col("dem") / votes)

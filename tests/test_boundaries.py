@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from precinctlab.functions import geometry
-from precinctlab.operators import boundaries
+from precinctlab.operators import boundaries, spatial
 from precinctlab.sources import binary, shapefile
 
 SCHEMA = "geoid string, district int, polygons array<array<array<struct<x:double,y:double>>>>"
@@ -109,6 +109,41 @@ def test_three_holders_and_graph(spark):
     assert got == {("a", "b"): ("land", 10.0), ("a", "d"): ("point", 0.1), ("b", "z"): ("water", 10.0), ("a", "nil"): ("error", 10.0), ("a", "gone"): ("error", 10.0)}
 
 
+def test_far_and_wide_places(spark):
+    """Boxes of very different sizes, strays far from every ring, points far from each other: against all pairs, in few rows."""
+    r = random.Random(6)
+    b = [(i, x := r.randint(-500, 500), y := r.randint(-500, 500), x + (w := r.choice([0, 1, 3, 40, 700])), y + r.choice([0, 2, w])) for i in range(70)] + [(99, None, 0, 1, 1)]
+    got = [tuple(x) for x in spatial.overlapping_boxes(spark.createDataFrame(b, "id long, x0 long, y0 long, x1 long, y1 long"), 2.0).collect()]
+    c = b[:-1]
+    want = {(p[0], q[0]) for p in c for q in c if p[0] < q[0] and max(p[1], q[1]) <= min(p[3], q[3]) and max(p[2], q[2]) <= min(p[4], q[4])}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.overlapping_boxes(spark.createDataFrame([], "id long, x0 long, y0 long, x1 long, y1 long"), 2.0).collect() == []
+    rings = {1: box(0, 0, 10, 10), 2: box(2000, 0, 2001, 1), 3: box(-50, -900, 0, -890)}
+    points = {f"p{i}": (r.uniform(-3000, 3000), r.uniform(-3000, 3000)) for i in range(40)} | {"in": (5.0, 5.0), "nil": (None, None)}
+    df = spark.createDataFrame([(k, *p) for k, p in points.items()], "geoid string, x double, y double")
+    polygons = spark.createDataFrame([(d, [(float(x), float(y)) for x, y in ring]) for d, ring in rings.items()], "district int, ring array<struct<x:double,y:double>>")
+
+    def nearest(p):
+        def d2(ring):
+            out = []
+            for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+                t = max(0.0, min(1.0, ((p[0] - ax) * (bx - ax) + (p[1] - ay) * (by - ay)) / ((bx - ax) ** 2 + (by - ay) ** 2)))
+                out.append((ax + t * (bx - ax) - p[0]) ** 2 + (ay + t * (by - ay) - p[1]) ** 2)
+            return min(out)
+
+        return min(rings, key=lambda d: (d2(rings[d]), d))
+
+    got = {x.geoid: x.district for x in spatial.locate(df, polygons, 4.0).collect()}
+    assert got == {k: 1 if k == "in" else nearest(p) for k, p in points.items() if k != "nil"}
+    some = spark.createDataFrame([(i, *p) for i, p in enumerate([*points.values()][:40])], "id long, x double, y double")
+    there = [(i, r.uniform(-9000, 9000), r.uniform(-90, 90)) for i in range(9)]
+    near = {x.id: x.to for x in spatial.nearest_points(some, spark.createDataFrame(there, "id long, x double, y double"), 5.0).collect()}
+    assert near == {i: min(there, key=lambda t: ((t[1] - p[0]) ** 2 + (t[2] - p[1]) ** 2, t[0]))[0] for i, p in enumerate([*points.values()][:40])}
+    with pytest.raises(Exception, match="more than two holders"):
+        one = [(g, [(float(x), float(y)) for x, y in box(0, 0, 1, 1)]) for g in "abc"]
+        spatial.shared_sides(spark.createDataFrame(one, "geoid string, ring array<struct<x:double,y:double>>"))[0].collect()
+
+
 def test_median(spark):
     for values in ([], [3.0], [1.0, 2.0], [5.0] * 7 + [9.0] * 6, [float(i * i % 997) for i in range(4001)]):
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")

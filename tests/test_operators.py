@@ -113,10 +113,6 @@ def test_square(spark):
     assert r[0] == pytest.approx(math.pi / 4) and r[1] and not r[2]
 
 
-def test_split_tree():
-    assert [x[:3] for x in allocation.split_tree(5)] == [(5, 2, 3), (2, 1, 1), (3, 1, 2), (2, 1, 1)]
-
-
 def test_cubic_bias(spark):
     import numpy as np
 
