@@ -224,7 +224,6 @@ simple("rhat", lambda s, d: series.r_hat(series.trimmed(a.traces(s, d))), TR + "
 SELECT k AS n_chains, n AS n_per_chain, round(CASE WHEN w = 0 THEN 1 ELSE sqrt(((n - 1) / n * w + b) / w) END, 6) AS r_hat, CASE WHEN w = 0 THEN FALSE ELSE sqrt(((n - 1) / n * w + b) / w) >= 1.05 END AS above_threshold FROM g""")
 simple("autocorrelation", lambda s, d: series.autocorrelation(series.trimmed(a.traces(s, d)), 5), TR + """, x AS (SELECT chain, step, value - avg(value) OVER (PARTITION BY chain) AS x FROM tr), z AS (SELECT chain, sum(x * x) AS z FROM x GROUP BY 1),
 p AS (SELECT a.chain, CAST(b.step - a.step AS INTEGER) AS lag, sum(a.x * b.x) AS p FROM x a JOIN x b ON a.chain = b.chain AND b.step - a.step BETWEEN 0 AND 5 GROUP BY 1, 2) SELECT lag, round(avg(p / z), 6) AS rho FROM p JOIN z USING (chain) WHERE z > 0 GROUP BY 1""")
-simple("ess_geyer", lambda s, d: series.ess(a.traces(s, d)))
 simple("percentile_rank", lambda s, d: series.percentile_rank(a.traces(s, d), 50.0), "SELECT round(avg(CASE WHEN value <= 50.0 THEN 1.0 ELSE 0.0 END), 6) AS percentile_rank FROM trace")
 simple("percentile_plan", lambda s, d: series.percentile_plan(a.traces(s, d), 0.25), "r AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY value, step) - 1 AS r, count(*) OVER (PARTITION BY chain) AS n FROM trace) SELECT chain, step, round(value, 6) AS value FROM r WHERE r = floor((n - 1) * 0.25)")
 simple("hamming_by_lag", lambda s, d: series.hamming_by_lag(series.trimmed(a.traces(s, d)).select("chain", F.lit(0).alias("unit"), "step", F.floor(F.col("value") / 10).alias("label")), 4), TR + "SELECT CAST(b.step - a.step AS INTEGER) AS lag, round(avg(CASE WHEN floor(a.value / 10) <> floor(b.value / 10) THEN 1.0 ELSE 0.0 END), 6) AS hamming FROM tr a JOIN tr b ON a.chain = b.chain AND b.step - a.step BETWEEN 0 AND 4 GROUP BY 1".replace("SELECT", " SELECT", 1))
@@ -236,18 +235,17 @@ simple("wls_fit", lambda s, d: series.wls(a.units(s, d), "dem", "rep", "pop"), "
 simple("holm_adjust", lambda s, d: series.holm(a.units(s, d).groupBy(F.col("place").alias("name")).agg((F.avg(F.col("idx") % 100) / 1000).alias("p"))), "t AS (SELECT place AS name, avg(idx % 100) / 1000 AS p FROM unit GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS r, count(*) OVER () AS n FROM t) SELECT name, round(max(least(1.0, (n - r + 1) * p)) OVER (ORDER BY r), 6) AS p_adjusted FROM r")
 simple("rank_in_state", lambda s, d: series.national_rank(a.units(s, d), "state", "pop", "geoid"), "SELECT substr(geoid, 1, 2) AS state, geoid, CAST(rank() OVER (PARTITION BY substr(geoid, 1, 2) ORDER BY pop DESC) AS INTEGER) AS rank_in_group, CAST(rank() OVER (ORDER BY pop DESC) AS INTEGER) AS rank_overall FROM unit")
 simple("props_json_scan", lambda s, d: a.read(s, d, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m")).select("event_id", F.explode("m").alias("key", "value")), "SELECT event_id, unnest(json_keys(props)) AS key, props ->> ('$.' || unnest(json_keys(props))) AS value FROM events")
-simple("rplan_roundtrip", lambda s, d: a.plan_a(s, d).groupBy("district").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("geoid", "district")))).alias("j")).select(F.explode(F.from_json("j", "map<string,int>")).alias("geoid", "district")), "SELECT geoid, district FROM plan_a")
 simple("polsby_popper", lambda s, d: shapes.shape_scores(a.units_only(s, d)), """
 r AS (SELECT geoid, CAST(idx % 4 + 1 AS DOUBLE) AS a, CAST(idx % 6 + 1 AS DOUBLE) AS b FROM unit) SELECT geoid, round(a * b, 6) AS area, round(2 * (a + b), 6) AS perimeter, round(least(1.0, 4 * pi() * a * b / ((2 * (a + b)) ** 2)), 6) AS polsby_popper, round(a * b / (pi() * (a * a + b * b) / 4), 6) AS reock FROM r""")
 
 
 def queries() -> dict:
-    from . import catalog_more, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401  register themselves
+    from . import catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401  register themselves
 
     return _QUERIES | catalog_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401
+    from . import catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401
 
     return _SQL | catalog_files.SQL

@@ -207,3 +207,30 @@ def composed(edges: DataFrame, *steps) -> DataFrame:
 def united(a: DataFrame, b: DataFrame) -> DataFrame:
     """Edges of either set; of one in both, the greater weight."""
     return a.select("u", "v", "w").union(b.select("u", "v", "w")).groupBy("u", "v").agg(F.max("w").alias("w"))
+
+
+def structure_checks(directed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rule and number of violations of neighbour lists (u, v, w, each edge both ways) over ``nodes`` (node).
+
+    asymmetric: pairs of which one way is missing or has another weight;
+    loops; repeated; unknown_ends; isolated: nodes without a neighbour;
+    components: connected parts beyond the first.
+    """
+    d = directed.select("u", "v", F.col("w").cast("double").alias("w"))
+    one = d.groupBy("u", "v").agg(F.count("*").alias("n"), F.min("w").alias("w"))
+    both = one.where("u <> v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (F.col("u") < F.col("v")).alias("up"), "w")
+    pairs = both.groupBy("a", "b").agg(F.count_distinct("up").alias("ways"), F.min("w").alias("low"), F.max("w").alias("high"))
+    n = nodes.select("node").distinct()
+    rules = {
+        "asymmetric": pairs.where((F.col("ways") < 2) | (F.col("low") != F.col("high"))).agg(F.count("*").alias("n")),
+        "loops": one.agg(F.count_if(F.col("u") == F.col("v")).alias("n")),
+        "repeated": one.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")),
+        "unknown_ends": one.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(n, "node", "left_anti").agg(F.count("*").alias("n")),
+        "isolated": n.join(one.where("u <> v").select(F.explode(F.array("u", "v")).alias("node")), "node", "left_anti").agg(F.count("*").alias("n")),
+        "components": components(d.where("u <> v"), n).agg(F.greatest(F.count_distinct("component") - 1, F.lit(0)).alias("n")),
+    }
+    out = None
+    for name, t in rules.items():
+        row = t.select(F.lit(name).alias("rule"), F.col("n").cast("long").alias("violations"))
+        out = row if out is None else out.union(row)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import pad
+from .tables import data_lines, pad, without_headers
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +36,14 @@ def feature_properties(docs: DataFrame) -> DataFrame:
 def two_column_csv(spark: SparkSession, path: str) -> DataFrame:
     """geoid, district from a CSV of these two columns in either order, header or not.
 
-    In each row the longer run of digits is the unit.  A row without a number is a header; one with a single number is an error.
+    In each row the longer run of digits is the unit.  The first row of a file
+    may be a header, without a number; any other row without two is an error.
     """
     f = F.transform(F.split("value", ","), lambda x: F.regexp_replace(F.trim(x), '"', ""))
-    rows = spark.read.text(path).select(f.alias("f")).select(F.get("f", F.lit(0)).alias("a"), F.get("f", F.lit(1)).alias("b")).where("a rlike '^[0-9]+$' or b rlike '^[0-9]+$'")
-    rows = rows.withColumn("a", F.when(F.expr("a rlike '^[0-9]+$' and b rlike '^[0-9]+$'"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("no unit and district: "), F.coalesce("a", F.lit("")), F.lit(","), F.coalesce("b", F.lit(""))))))
+    number = lambda i: F.coalesce(F.get(f, F.lit(i)).rlike("^[0-9]+$"), F.lit(False))
+    lines = without_headers(data_lines(spark, path), number(0) | number(1), "no unit and district: ")
+    a = F.when(number(0) & number(1), F.get(f, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("no unit and district: "), F.col("value"))))
+    rows = lines.select(a.alias("a"), F.get(f, F.lit(1)).alias("b"))
     first = F.length("a") >= F.length("b")
     return rows.select(pad(F.when(first, F.col("a")).otherwise(F.col("b"))).alias("geoid"), F.when(first, F.col("b")).otherwise(F.col("a")).cast("int").alias("district"))
 

@@ -43,14 +43,32 @@ def minority_fractions(table: DataFrame) -> DataFrame:
     return table.select(pad(F.col("geoid")).alias("geoid"), F.when(total > 0, share).otherwise(0.0).alias("share"))
 
 
+def data_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file and place (a struct that orders the lines of a file) of lines that are not blank."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), place.alias("place")).where(F.trim("value") != "")
+
+
+def without_headers(lines: DataFrame, data: Column, what: str) -> DataFrame:
+    """The lines for which ``data`` holds; of others, only the first of a file, its header, is let through, and any other fails the job."""
+    good = F.coalesce(data, F.lit(False))
+    # places are compared within one aggregation only: their numbers differ from one use of the scan to another
+    files = lines.groupBy("file").agg(F.min(F.when(good, F.col("place"))).alias("first"), F.count_if(~good).alias("n"), F.max_by("value", F.when(~good, F.col("place"))).alias("last"), F.max(F.when(~good, F.col("place"))).alias("odd"))
+    broken = files.where((F.col("n") > 1) | ((F.col("n") == 1) & (F.col("odd") > F.col("first"))))
+    fail = broken.select(F.raise_error(F.concat(F.lit(what), F.col("last"))).cast("string").alias("value"))
+    return lines.where(good).select("value").unionByName(fail)
+
+
 def shares_tsv(spark: SparkSession, path: str) -> DataFrame:
     """geoid and share from tab-separated lines; comments, blank lines and a header of any wording are skipped.
 
-    A header is a line whose second field is no number; a share outside 0..1 fails the job.
+    A header is the first other line of a file if its second field is no
+    number; any later line without a number there, and a share outside 0..1,
+    fail the job.
     """
-    line = F.rtrim(F.col("value"))
-    fields = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#")).select(F.split(line, "\t").alias("f"))
-    typed = fields.select(F.try_element_at("f", F.lit(1)).alias("geoid"), F.try_element_at("f", F.lit(2)).try_cast("double").alias("x")).where("x is not null")
+    number = F.try_element_at(F.split(F.rtrim(F.col("value")), "\t"), F.lit(2)).try_cast("double")
+    lines = without_headers(data_lines(spark, path).where(~F.col("value").startswith("#")), number.isNotNull(), "no share: ")
+    typed = lines.select(F.split(F.rtrim(F.col("value")), "\t")[0].alias("geoid"), number.alias("x"))
     checked = F.when(F.col("x").between(0, 1), F.col("x")).otherwise(F.raise_error(F.concat(F.lit("share out of range at "), "geoid")).cast("double"))
     return typed.select(pad(F.trim("geoid")).alias("geoid"), checked.alias("share"))
 

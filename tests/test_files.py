@@ -55,7 +55,8 @@ def test_partition_list_counts_lines(spark):
 
 def test_graph_bytes():
     data = binary.encode_graph(np.array([5, 6, 7]), np.array([2, 0]), np.array([1, 1]), np.array([300.0, 500.5]))
-    weights, edges = binary.decode_graph(data)
+    weights, edges, outer, areas = binary.decode_graph(data)
+    assert outer is None and areas is None
     assert weights.tolist() == [5, 6, 7] and [tuple(e) for e in edges.tolist()] == [(0, 1, 500.5), (1, 2, 300.0)]
     for broken in (b"X" + data[1:], data[:4] + b"\x63" + data[5:], data[:40], data[:12] + b"\x09" + data[13:]):
         with pytest.raises(ValueError):
