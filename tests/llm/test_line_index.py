@@ -1,0 +1,29 @@
+"""Keys of line seeds: seeds that may belong together share one, far ones hardly ever."""
+
+import numpy as np
+import pytest
+
+from precinctlab.llm import line_join
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 13, 90])
+def test_near_seeds_share_a_key(most):
+    rng = np.random.default_rng(most)
+    n = 3000
+    place, size = rng.integers(0, 40 * most, n), rng.integers(20 * most, 60 * most, n)
+    far = rng.integers(-most, most + 1, (2, n))
+    key = rng.integers(0, 1 << 62, n).astype(np.uint64)
+    other_place, other_size = np.maximum(place + far[0], 0), size + far[1]
+
+    def keys(p, s):
+        i, k = line_join.indexed(key, p, s, most)
+        out = [set() for _ in range(n)]
+        for a, b in zip(i.tolist(), k.tolist()):
+            out[a].add(b)
+        return out
+
+    a, b = keys(place, size), keys(other_place, other_size)
+    assert all(x & y for x, y in zip(a, b))
+    assert np.mean([len(x) for x in a]) < 2.4
+    away = keys(place + 8 * most, size)
+    assert not any(x & y for x, y in zip(a, away))
