@@ -240,12 +240,12 @@ r AS (SELECT geoid, CAST(idx % 4 + 1 AS DOUBLE) AS a, CAST(idx % 6 + 1 AS DOUBLE
 
 
 def queries() -> dict:
-    from . import catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401  register themselves
+    from . import catalog_gates, catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401  register themselves
 
     return _QUERIES | catalog_files.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401
+    from . import catalog_gates, catalog_more, catalog_packages, catalog_reports, catalog_shapes, catalog_stats, catalog_streams  # noqa: F401
 
     return _SQL | catalog_files.SQL
