@@ -37,12 +37,18 @@ def text_batches(spark: SparkSession, rows: int = 500) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; set only where the cluster names none (tests)."""
+    """A new path in the shared checkpoint folder.
+
+    Where the session names none, a temporary folder serves a local master, as
+    in tests; a cluster without one is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             import tempfile
 

@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -38,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parallelism, slices, text_batches
+from .common import bucketed, parallelism, slices, text_batches
 
 LENGTH = 200
 SEED = 100
@@ -368,14 +367,12 @@ def _cut_texts(batches):
 
 def repeated_substrings(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of lo, hi in bytes)."""
-    spark, n = docs.sparkSession, parallelism(docs.sparkSession)
-    text_batches(spark)
+    n = parallelism(docs.sparkSession)
+    text_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     keyed = docs.select("doc_id", text.alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
-    name = f"distinct_texts_{uuid.uuid4().hex}"
     texts = keyed.repartition(n, "k1", "k2").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.first("text").alias("text"))
-    texts.write.format("parquet").option("compression", "zstd").bucketBy(n, "k1", "k2").saveAsTable(name)
-    texts = spark.table(name)
+    texts = bucketed(texts, n, "k1", "k2")
     counted = texts.select("text").mapInArrow(_count, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
     places = texts.select("k1", "k2", "text").mapInArrow(_places, "k1 long, k2 long, h long, at long")
     kept = places.join(counted, "h", "left_semi").groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "at")).alias("found"))
