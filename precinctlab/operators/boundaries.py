@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import contains, polygons_perimeter, signed_area
-from .graph import cut
+from .graph import cut, written
 from .roll_ups import greatest_divisor
 
 #: Length that stands for a contact at points, and for water without any land boundary.
@@ -194,22 +194,22 @@ def traced(half: DataFrame) -> DataFrame:
     back, so that polygons which meet at a point get rings of their own.  Both
     loops need as many rounds as the longest ring has binary digits.
     """
-    h = cut(half.withColumn("id", F.monotonically_increasing_id()))
+    h = written(half.withColumn("id", F.monotonically_increasing_id()))
     out = h.select("district", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("to"), F.col("id").alias("next"))
     back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
     turn = F.pmod(back - F.col("to"), F.lit(6.283185307179586))
     linked = h.join(out, ["district", "bx", "by"]).groupBy("id").agg(F.min_by("next", F.when(turn > 1e-12, turn).otherwise(7.0)).alias("next"))
-    low = cut(linked.select("id", "next", F.col("next").alias("ptr"), F.least("id", "next").alias("low")))
+    low = written(linked.select("id", "next", F.col("next").alias("ptr"), F.least("id", "next").alias("low")))
     follow = lambda t, *more: t.select(F.col("id").alias("ptr"), F.col("ptr").alias("onward"), *more)
     while True:
         after = low.join(follow(low, F.col("low").alias("seen")), "ptr").select("id", "next", F.col("onward").alias("ptr"), F.least("low", "seen").alias("low"), (F.col("seen") < F.col("low")).alias("moved"))
-        low = cut(after)
+        low = written(after)
         if low.where("moved").isEmpty():
             break
     root = F.col("id") == F.col("low")
-    far = cut(low.select("id", "low", F.when(root, F.col("id")).otherwise(F.col("next")).alias("ptr"), F.when(root, 0).otherwise(1).alias("steps")))
+    far = written(low.select("id", "low", F.when(root, F.col("id")).otherwise(F.col("next")).alias("ptr"), F.when(root, 0).otherwise(1).alias("steps")))
     while not far.where("ptr <> low").isEmpty():
-        far = cut(far.join(follow(far, F.col("steps").alias("more")), "ptr").select("id", "low", F.col("onward").alias("ptr"), (F.col("steps") + F.col("more")).alias("steps")))
+        far = written(far.join(follow(far, F.col("steps").alias("more")), "ptr").select("id", "low", F.col("onward").alias("ptr"), (F.col("steps") + F.col("more")).alias("steps")))
     place = F.when(F.col("steps") == 0, -(1 << 60)).otherwise(-F.col("steps"))
     return h.join(far, "id").select("district", F.col("low").alias("ring"), place.alias("place"), F.col("ax").alias("x"), F.col("ay").alias("y"))
 

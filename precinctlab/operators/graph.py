@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import scratch
 from .attributes import r6
 
 
@@ -21,6 +22,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, for loops that join a table with itself.
+
+    A checkpoint keeps the planner's estimate of its size, which such a loop
+    squares each round until the estimate itself takes the time; a written
+    table has its own size.
+    """
+    path = scratch(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def labelled(edges: DataFrame, plan: DataFrame) -> DataFrame:
     """Edges with the districts of their ends."""
     return edges.join(plan.select(F.col("geoid").alias("u"), F.col("district").alias("du")), "u").join(plan.select(F.col("geoid").alias("v"), F.col("district").alias("dv")), "v")

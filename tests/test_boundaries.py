@@ -205,6 +205,17 @@ def test_dissolve_odd_cases(spark):
         boundaries.dissolve(make({"a": [[box(0, 0, 2, 2)]], "b": [[box(0, 0, 2, 2)]]}), snap=1.0).collect()
 
 
+def test_long_ring(spark):
+    """Some 1,200 corners: as many rounds as that has digits, each as quick as the first."""
+    teeth = [(x, y) for i in range(300) for x, y in ((2 * i, 9), (2 * i + 1, 9), (2 * i + 1, 5), (2 * i + 2, 5))]
+    ring = [(0, 0), (600, 0), *teeth[::-1]]
+    got = boundaries.dissolve(spark.createDataFrame(rows({"a": [[ring]]}), SCHEMA), snap=1.0, cell=50.0).first().polygons
+    bent = [b for a, b, c in zip(ring[-1:] + ring, ring, ring[1:] + ring[:1]) if (b[0] - a[0]) * (c[1] - b[1]) != (b[1] - a[1]) * (c[0] - b[0])]
+    found = [(p.x, p.y) for p in got[0][0]]
+    at = found.index(bent[0])
+    assert len(got) == len(got[0]) == 1 and found[at:] + found[:at] == bent
+
+
 def test_shapefile_round_trip(spark, shapes, tmp_path):
     shapefile.register(spark)
     table = [(f"5000595{i:04d}", i * 10 if i % 3 else None, i / 7, bool(i % 2), "Ångström" if i % 2 else None, p) for i, (_, _, p) in enumerate(rows(shapes))]
