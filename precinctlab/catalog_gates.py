@@ -118,8 +118,15 @@ def coded(s, d):
 
 
 TABLE = "sc(postal, code, name) AS (VALUES " + ", ".join(f"('{p}', '{c}', '{n}')" for p, c, n in states.STATES) + "), cd AS (SELECT geoid, coalesce((SELECT p FROM (SELECT postal AS p, row_number() OVER (ORDER BY code) - 1 AS i FROM sc) WHERE i = idx % 52), 'ZZ') AS postal FROM unit)\n"
-P = F.col("postal")
-simple("state_lookups", lambda s, d: coded(s, d).select("geoid", "postal", states.census_code(P).alias("code"), states.state_name(P).alias("name"), states.postal_code(states.census_code(P)).alias("again"), states.county_term(P).alias("term"), states.county_term(P, plural=True).alias("terms")), TABLE + """
+
+
+def looked_up(s, d):
+    p = F.col("postal")
+    code = states.census_code(p)
+    return coded(s, d).select("geoid", "postal", code.alias("code"), states.state_name(p).alias("name"), states.postal_code(code).alias("again"), states.county_term(p).alias("term"), states.county_term(p, plural=True).alias("terms"))
+
+
+simple("state_lookups", looked_up, TABLE + """
 SELECT geoid, postal, code, name, CASE WHEN code IS NOT NULL THEN postal END AS again, CASE postal WHEN 'LA' THEN 'parish' WHEN 'AK' THEN 'borough' ELSE 'county' END AS term, CASE postal WHEN 'LA' THEN 'parishes' WHEN 'AK' THEN 'boroughs' ELSE 'counties' END AS terms FROM cd LEFT JOIN sc USING (postal)""")
 
 
