@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attributes import r6
-from .partisan import LEAST_DISTRICTS, report
+from .partisan import report
 
 BLOCK = 250
 
@@ -98,6 +98,3 @@ def cluster_bootstrap(df: DataFrame, cluster: str, y: str, x: str, draws: int =
     n, sx, sy, sxx, sxy = (F.sum(c) for c in columns)
     whole = sums.agg(r6(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)).alias("slope"), F.count("*").alias("n_clusters"), F.coalesce(n, F.lit(0)).alias("n"))
     return whole.join(F.broadcast(ci.select(r6("low").alias("low"), r6("high").alias("high"))), how="left").select("slope", "low", "high", "n_clusters", "n")
-
-
-__all__ = ["LEAST_DISTRICTS", "cluster_bootstrap", "drawn", "intervals", "partisan_intervals", "report_with_intervals", "resampled"]
