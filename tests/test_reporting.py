@@ -58,3 +58,8 @@ def test_chain_seeds_times_and_text(spark):
     at = spark.createDataFrame([(-5,), (0,), (951782399,), (4102444800,)], "s long").select(reporting.iso_time(F.col("s")).alias("t")).collect()
     assert [x.t for x in at] == ["1970-01-01T00:00:00Z", "1970-01-01T00:00:00Z", "2000-02-28T23:59:59Z", "2100-01-01T00:00:00Z"]
     assert spark.range(1).select(reporting.ascii_safe(F.lit("a–é😀"))).first()[0] == "a???"
+
+
+def test_times_after_9999_have_no_sign(spark):
+    at = spark.createDataFrame([(253402300799,), (253402300800,), (527228 * 86399 * 7 - 86400,)], "s long").select(reporting.iso_time(F.col("s")).alias("t")).collect()
+    assert [x.t for x in at] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "12074-05-22T06:50:04Z"]
