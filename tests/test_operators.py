@@ -173,3 +173,17 @@ def test_at_large_rows(spark):
 
 def test_every_query_has_sql():
     assert set(catalog.queries()) == set(catalog.oracle_sql())
+
+
+def test_ring_is_computed_once_a_row(spark):
+    """Scores of built rings with 40 corners: their time must not grow with the cube of the corners."""
+    import time
+
+    from precinctlab.operators import shapes
+
+    turn = [F.lit(2 * math.pi * i / 40) for i in range(40)]
+    ring = F.array(*[F.struct((F.col("id") * F.cos(t)).alias("x"), (F.col("id") * F.sin(t)).alias("y")) for t in turn])
+    begun = time.monotonic()
+    rows = shapes.compactness(spark.range(1, 121, 1, 1).select("id", ring.alias("ring")), "id").collect()
+    assert time.monotonic() - begun < 20
+    assert len(rows) == 120 and all(x.hull_ratio == 1.0 and x.area == pytest.approx(20 * math.sin(math.pi / 20) * x.id**2, abs=1e-5) for x in rows)
