@@ -457,3 +457,35 @@ def test_pipeline(spark, docs, tmp_path):
             assert Counter((d.doc_id, d.ids_crc32) for d in after) == want and all(d.exact for d in after)
         state = out
     assert Counter(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) == Counter(map(str, state.collect()))
+
+
+def test_pipeline_compares_fingerprints(spark, monkeypatch):
+    """The stage joins SimHash fingerprints; what they find and what they miss is checked by the sets."""
+    r = random.Random(5)
+    words = [" ".join(f"w{r.randrange(500)}" for _ in range(150)) for _ in range(30)]
+    texts = [*words, *[w.rsplit(" ", 1)[0] + " end" for w in words]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+    join = simhash.similar_pairs
+    monkeypatch.setattr(simhash, "similar_pairs", lambda fps, budget: asked.append(budget) or join(fps, budget))
+    assert {x.doc_id for x in simhash.without_near_duplicates(d).collect()} == set(range(30)) and asked == [3]
+    fp = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    close = {(i, j) for j in range(60) for i in range(j) if (fp[i] ^ fp[j]).bit_count() <= 3}
+    found = simhash.fingerprint_candidates(d.selectExpr("doc_id AS node", "CAST(text AS BINARY) AS text"), 5, 3)
+    assert {(x.a, x.b) for x in found.collect()} == close and len(close) > 5
+
+
+def test_all_linked_passages_come_together(spark):
+    """200 texts hold the same three strings; only two of them agree in the words between, in runs too short for seeds."""
+    r = random.Random(31)
+    filler = lambda n: [f"v{r.randrange(10**9)}" for _ in range(n)]
+    common, between = [[f"c{k}{i}" for i in range(9)] for k in range(3)], [filler(8), filler(8)]
+    texts = []
+    for i in range(200):
+        gaps = [[*filler(1), *g[:4], *filler(1), *g[4:], *filler(1)] if i in (70, 141) else filler(11) for g in between]
+        texts.append(" ".join([*filler(6), *common[0], *gaps[0], *common[1], *gaps[1], *common[2], *filler(5)]))
+    a, b = (passage_chains.Text(texts[i].encode()) for i in (70, 141))
+    assert any(passage_chains.passages(c, a, b) for c in passage_chains.chains(passage_chains.matches(a.places(), b)))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert not passage_chains.shared_passages(d, exhaustive=False).collect()
+    assert {frozenset((x.doc_id, x.other_id)) for x in passage_chains.shared_passages(d).collect()} == {frozenset((70, 141))}
