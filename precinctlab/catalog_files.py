@@ -81,8 +81,7 @@ def _geography(s, d):
 @query("chain_log_scan", "SELECT CAST(dense_rank() OVER (ORDER BY CAST(chain AS VARCHAR)) - 1 AS INTEGER) AS chain, CAST(step AS BIGINT) AS step, 'value' AS metric, value FROM trace")
 def _chains(s, d):
     path = scratch(s, "chains")
-    t = a.traces(s, d).select(F.format_string("%s", F.col("chain").cast("string")).alias("c"), F.to_json(F.struct("step", F.struct("value").alias("metrics"))).alias("value"))
-    t.repartition("c").write.partitionBy("c").text(path)
+    a.traces(s, d).select(F.to_json(F.struct(F.col("chain").cast("string").alias("chain"), "step", F.struct("value").alias("metrics"))).alias("value")).write.text(path)
     return tables.chain_logs(s, path)
 
 

@@ -105,3 +105,11 @@ def test_hc3_against_matrix_form(spark):
     assert got.hc3_error == pytest.approx(cov[1, 1] ** 0.5, abs=1e-5) and got.n == 30
     flat = robust.hc3(spark.range(5).select(F.lit(1).alias("x"), F.col("id").alias("y")), "y", "x").collect()
     assert all(r.hc3_error is None for r in flat)
+
+
+def test_many_chains_in_a_file(spark, tmp_path):
+    """Named chains share a file and go on in another; lines without a name belong to their file's chain."""
+    (tmp_path / "a.jsonl").write_text('{"chain": "10", "metrics": {"cut": 1}}\n{"chain": "9", "step": 4, "metrics": {"cut": 2}}\n\n{"chain": "10", "metrics": {"cut": 3}}\n')
+    (tmp_path / "b.jsonl").write_text('{"chain": "10", "metrics": {"cut": 5}}\n{"metrics": {"cut": 7}}\n')
+    got = {tuple(x) for x in tables.chain_logs(spark, str(tmp_path)).collect()}
+    assert got == {(0, 0, "cut", 1.0), (0, 1, "cut", 3.0), (0, 2, "cut", 5.0), (1, 4, "cut", 2.0), (2, 0, "cut", 7.0)}
