@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -21,6 +20,7 @@ STAGES = ("built", "analyzed", "reported")
 INVALIDATE, REMOVE = "invalidate", "remove"
 
 LOG = T.StructType().add("label", T.StringType()).add("year", T.StringType()).add("event_id", T.LongType()).add("step", T.StringType()).add("accepted", T.BooleanType()).add("problem", T.StringType()).add("stage", T.StringType())
+ENTRY = Row(*LOG.names)
 STATE = T.StructType([T.StructField(s, T.BooleanType()) for s in STAGES])
 
 
@@ -51,15 +51,14 @@ class Labels(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("stages", STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  the interface's names
-        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        done = list(self.state.get()) if self.state.exists() else [False] * 3
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803  the interface's names
+        done = list(self.state.get() or [False] * 3)
         log = []
-        for event_id, step in zip(events["event_id"], events["step"]):
-            done, problem = applied(done, step)
-            log.append((*key, int(event_id), step, problem is None, problem, stage_of(done)))
+        for e in sorted(rows, key=lambda e: (e.ts is None, e.ts, e.event_id)):
+            done, problem = applied(done, e.step)
+            log.append(ENTRY(*key, e.event_id, e.step, problem is None, problem, stage_of(done)))
         self.state.update(tuple(done))
-        yield pd.DataFrame(log, columns=LOG.names)
+        yield from log
 
     def close(self) -> None:
         pass
@@ -79,4 +78,4 @@ def registry_log(events: DataFrame) -> DataFrame:
     in their own; events without label or year are left out.
     """
     e = events.select(F.col("label").cast("string"), F.col("year").cast("string"), F.col("event_id").cast("long"), "ts", F.col("step").cast("string")).dropna(subset=["label", "year"])
-    return e.groupBy("label", "year").transformWithStateInPandas(statefulProcessor=Labels(), outputStructType=LOG, outputMode="Append", timeMode="None")
+    return e.groupBy("label", "year").transformWithState(statefulProcessor=Labels(), outputStructType=LOG, outputMode="Append", timeMode="None")

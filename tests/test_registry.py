@@ -40,3 +40,24 @@ def test_stream(spark, tmp_path, batches):
             want[i] = (*key, i, step, problem is None, problem, registry.stage_of(state[key]))
     assert got == want and {w[-1] for w in want.values()} == {"none", "built", "analyzed", "reported"}
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != own.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_rows_of_a_key_need_no_frames():
+    """Rows go in and out as they are, in the order of (ts, event_id), with one read and one write of the state."""
+    from pyspark.sql import Row
+
+    class State:
+        calls = []
+
+        def get(self):
+            self.calls.append("get")
+
+        def update(self, value):
+            self.calls.append(value)
+
+    labels = registry.Labels()
+    labels.state = State()
+    rows = [Row(ts=2, event_id=1, step="analyzed"), Row(ts=None, event_id=4, step="reported"), Row(ts=1, event_id=3, step="built"), Row(ts=1, event_id=2, step="analyzed")]
+    out = list(labels.handleInputRows(("a", "2020"), iter(rows), None))
+    assert [(x.event_id, x.accepted, x.stage) for x in out] == [(2, False, "none"), (3, True, "built"), (1, True, "analyzed"), (4, True, "reported")]
+    assert State.calls == ["get", (True, True, True)]
