@@ -505,3 +505,51 @@ def test_seeds_go_packed():
     assert rows > 20_000 and found.nbytes < 14 * rows
     pairs = [t for x in line_join._tables(line_join._pairs(found)["rows"]) for t in zip(x["a"].to_pylist(), x["b"].to_pylist())]
     assert {(i, i + 500) for i in range(500)} <= set(pairs) and len(set(pairs)) == len(pairs)
+
+
+def test_pairs_measured_together():
+    """Many pairs at once as one by one, with characters of all widths, no room to edit, and few long pairs among many."""
+    r = random.Random(5)
+    pairs = []
+    for k in range(900):
+        symbols = "abcde" if k % 2 else "ab cdé🙂￿￾�"
+        v = "".join(r.choice(symbols) for _ in range(r.randint(20, 100) if k % 50 else 4000))
+        w = list(v)
+        for _ in range(r.randint(0, 8)):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice(["", *symbols])
+        pairs.append((v, "".join(w), line_join.edits(min(len(v), len(w)))))
+    got = line_join.alike(*map(list, zip(*pairs))).tolist()
+    assert got == [line_join.within(*p) for p in pairs] and 100 < sum(got) < 800
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    """A written table or a checkpoint lets its shuffle files go, and the session keeps its setting."""
+    import time
+
+    from precinctlab.llm.common import bucketed, cut
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    frame = lambda: spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(4, "k")
+    shuffles = lambda: {b for b in blocks.getAllBlocks().mkString(" ").split() if b.startswith("shuffle")}
+    before, end = shuffles(), time.time() + 10
+    bucketed(frame(), 4, "k"), cut(frame())
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_lines_are_sent_in_turns(spark, monkeypatch):
+    """Sources take turns when pairs are many, and the links are those of one turn."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    rows = [(i, "\n".join(x[:k] + r.choice("xyz") + x[k + 1 :] for x in r.sample(base, 3) for k in [r.randrange(60)])) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    get = lambda: sorted(map(tuple, line_join.line_classes(d).select("lid", "class_id", "n_links").collect()))
+    cuts, cut = [], line_join.cut
+    monkeypatch.setattr(line_join, "cut", lambda df: cuts.append(1) or cut(df))
+    monkeypatch.setattr(line_join, "SOURCE", 2000)
+    whole, turns = get(), len(cuts)
+    monkeypatch.setattr(line_join, "TURN", 100)
+    assert get() == whole and any(n for _, _, n in whole) and len(cuts) - turns > turns
