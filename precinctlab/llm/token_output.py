@@ -19,7 +19,6 @@ long segment; an empty table writes no segment; extra columns are left aside.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -81,14 +80,12 @@ def unpack(blob: bytes, first_block: int = 0, n_blocks: int | None = None) -> np
     return np.concatenate(out)
 
 
-_BESIDE = re.compile(r" \s|\s ")
-
-
 class Encoder:
     """Byte-level BPE through the tokenizers library, remembering the ids of chunks.
 
     A space between two non-space characters always starts a new pre-token, so
-    texts cut there encode piecewise; other texts go to the library whole.
+    texts cut there encode piecewise; other texts (a space stands beside white
+    space or at an end) go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -112,35 +109,33 @@ class Encoder:
             if len(starts) != len(part):
                 raise ValueError("chunk boundaries do not match")
             data, ends = ids.tobytes(), (4 * starts).tolist() + [4 * len(ids)]
-            for x, a, z in zip(part, ends, ends[1:]):
-                if len(x) > LONG:
-                    long[x] = data[a:z]
-                else:
-                    known[x] = data[a:z]
-                    self.held += len(x) + z - a + 160
+            known.update(zip(part, [data[a:z] for a, z in zip(ends, ends[1:])]))
+            self.held += sum(map(len, part)) + len(data) + 160 * len(part)
+            for x in [x for x in part if len(x) > LONG]:
+                long[x] = known.pop(x)
+                self.held -= len(x) + len(long[x]) + 160
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        pieces: list[list[str] | None] = []
-        for t in texts:
-            pieces.append(None if self._odd(t) else t.split(" "))
         if self.held > MEMORY:
             self.known.clear()
             self.held = 0
-        rest: set[str] = set()
-        for p in pieces:
-            if p:
-                rest.update(p[1:])
         known = self.known
-        long = self._learn([x for x in rest if x not in known])
+        pieces: list[list[str] | None] = [t.split(" ") for t in texts]
+        after = [p[1:] for p in pieces]
+        new = set().union(*after).difference(known)
+        # a chunk with white space at an end is never known, so only new ones are looked at
+        odd = {x for x in new if not x or x[0].isspace() or x[-1].isspace()}
+        for i, (p, rest) in enumerate(zip(pieces, after)):
+            if rest and (not p[0] or p[0][-1].isspace() or odd and not odd.isdisjoint(rest)):
+                pieces[i] = None
+        if odd:
+            new = set().union(*(rest for p, rest in zip(pieces, after) if p)).difference(known)
+        long = self._learn(list(new))
+        get = (lambda x: known[x] if x in known else long[x]) if long else known.__getitem__
         whole = iter(self.library.encode_batch_fast([p[0] if p else t for t, p in zip(texts, pieces)], add_special_tokens=False))
-        return [np.array(next(whole).ids, dtype="<u4").tobytes() + (b"".join([known[x] if x in known else long[x] for x in p[1:]]) if p else b"") for p in pieces]
-
-    @staticmethod
-    def _odd(text: str) -> bool:
-        """Whether a space stands beside white space or at an end, so that it may not start a pre-token."""
-        return text[:1] == " " or text[-1:] == " " or _BESIDE.search(text) is not None
+        return [np.array(next(whole).ids, dtype="<u4").tobytes() + (b"".join(map(get, rest)) if p else b"") for p, rest in zip(pieces, after)]
 
 
 _ENCODERS: dict[str, Encoder] = {}

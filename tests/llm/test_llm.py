@@ -553,3 +553,13 @@ def test_lines_are_sent_in_turns(spark, monkeypatch):
     whole, turns = get(), len(cuts)
     monkeypatch.setattr(line_join, "TURN", 100)
     assert get() == whole and any(n for _, _, n in whole) and len(cuts) - turns > turns
+
+
+def test_encoder_on_odd_spaces():
+    """Ids of the library whatever white space stands beside a space; chunks of texts that go whole are not remembered."""
+    r, own = random.Random(3), token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(r.choice([" ", " ", "a", "b", "\n", "\t", "　", "é", "'s", "1", "x" * 70, "\x1c", "\x85", "."]) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+    got = [x for at in range(0, len(texts), 500) for x in own.encode(texts[at : at + 500])]
+    assert got == [np.array(x.ids, "<u4").tobytes() for x in own.library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert own.known and not any(x[:1].isspace() or x[-1:].isspace() or not x or len(x) > token_output.LONG for x in own.known)
+    assert own.held == sum(len(x) + len(ids) + 160 for x, ids in own.known.items())
