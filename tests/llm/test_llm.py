@@ -563,3 +563,17 @@ def test_encoder_on_odd_spaces():
     assert got == [np.array(x.ids, "<u4").tobytes() for x in own.library.encode_batch_fast(texts, add_special_tokens=False)]
     assert own.known and not any(x[:1].isspace() or x[-1:].isspace() or not x or len(x) > token_output.LONG for x in own.known)
     assert own.held == sum(len(x) + len(ids) + 160 for x, ids in own.known.items())
+
+
+def test_texts_of_pairs_go_in_turns(spark, monkeypatch):
+    """Texts of all pairs at once took several times the disk that the table takes."""
+    texts = {i: " ".join(f"w{j}" if j % 12 or i % 3 else f"x{i}" for j in range(60)) for i in range(9)}
+    table = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "node long, text binary")
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    turns = []
+    monkeypatch.setattr(simhash, "cut", lambda df: turns.append(df.cache()) or turns[-1])
+    got = simhash._linked(spark.createDataFrame(pairs, "a long, b long"), table, len(texts), 5, 0.8)
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5)) for i, t in texts.items()}
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert 0 < len(want) < len(pairs) and sorted(map(tuple, got.collect())) == sorted(want)
+    assert len(turns) == len(pairs) / (simhash.TURN * len(texts))
