@@ -178,10 +178,10 @@ def outlines(units: DataFrame, snap: float = 0.01, cell: float = 1000.0) -> Data
     key = ["district", "ax", "ay", "bx", "by"]
     placed = _placed(_cut_along(s, size), size).select(*key, "cx", "cy")
     inner = ((F.col("x") != F.col("ax")) | (F.col("y") != F.col("ay"))) & ((F.col("x") != F.col("bx")) | (F.col("y") != F.col("by")))
-    on = placed.join(ends, ["district", "cx", "cy"]).where(inner & (_distance2() == 0)).select(*key, F.struct(F.abs(F.col("x") - F.col("ax")) + F.abs(F.col("y") - F.col("ay")), "x", "y").alias("p"))
+    on = placed.join(ends.hint("merge"), ["district", "cx", "cy"]).where(inner & (_distance2() == 0)).select(*key, F.struct(F.abs(F.col("x") - F.col("ax")) + F.abs(F.col("y") - F.col("ay")), "x", "y").alias("p"))
     cuts = on.groupBy(*key).agg(F.sort_array(F.collect_set("p")).alias("p"))
     at = F.concat(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y"))), F.coalesce(F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))), F.array()), F.array(F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
-    parts = s.join(cuts, key, "left").select("district", at.alias("q"))
+    parts = s.join(cuts.hint("merge"), key, "left").select("district", at.alias("q"))
     steps = F.explode(F.transform(F.sequence(F.lit(0), F.size("q") - 2), lambda i: F.struct(F.get("q", i).alias("a"), F.get("q", i + 1).alias("b"))))
     parts = parts.select("district", steps.alias("s")).select("district", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
     return _uncancelled(parts)
@@ -192,15 +192,17 @@ def traced(half: DataFrame) -> DataFrame:
 
     A side goes on with the outgoing side that is first clockwise from the way
     back, so that polygons which meet at a point get rings of their own.  Both
-    loops need as many rounds as the longest ring has binary digits.
+    loops need as many rounds as the longest ring has binary digits.  Rounds ask
+    for merge joins: numbers pack so well that a table of many sides would pass
+    for small by its file, and go to the driver and back each round.
     """
     h = written(half.withColumn("id", F.monotonically_increasing_id()))
     out = h.select("district", F.col("ax").alias("bx"), F.col("ay").alias("by"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("to"), F.col("id").alias("next"))
     back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
     turn = F.pmod(back - F.col("to"), F.lit(6.283185307179586))
-    linked = h.join(out, ["district", "bx", "by"]).groupBy("id").agg(F.min_by("next", F.when(turn > 1e-12, turn).otherwise(7.0)).alias("next"))
+    linked = h.join(out.hint("merge"), ["district", "bx", "by"]).groupBy("id").agg(F.min_by("next", F.when(turn > 1e-12, turn).otherwise(7.0)).alias("next"))
     low = written(linked.select("id", "next", F.col("next").alias("ptr"), F.least("id", "next").alias("low")))
-    follow = lambda t, *more: t.select(F.col("id").alias("ptr"), F.col("ptr").alias("onward"), *more)
+    follow = lambda t, *more: t.select(F.col("id").alias("ptr"), F.col("ptr").alias("onward"), *more).hint("merge")
     while True:
         after = low.join(follow(low, F.col("low").alias("seen")), "ptr").select("id", "next", F.col("onward").alias("ptr"), F.least("low", "seen").alias("low"), (F.col("seen") < F.col("low")).alias("moved"))
         low = written(after)
@@ -211,7 +213,7 @@ def traced(half: DataFrame) -> DataFrame:
     while not far.where("ptr <> low").isEmpty():
         far = written(far.join(follow(far, F.col("steps").alias("more")), "ptr").select("id", "low", F.col("onward").alias("ptr"), (F.col("steps") + F.col("more")).alias("steps")))
     place = F.when(F.col("steps") == 0, -(1 << 60)).otherwise(-F.col("steps"))
-    return h.join(far, "id").select("district", F.col("low").alias("ring"), place.alias("place"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    return h.join(far.hint("merge"), "id").select("district", F.col("low").alias("ring"), place.alias("place"), F.col("ax").alias("x"), F.col("ay").alias("y"))
 
 
 def dissolve(units: DataFrame, snap: float = 0.01, cell: float = 1000.0) -> DataFrame:

@@ -272,3 +272,15 @@ def test_wkb_with_holes(spark, shapes):
     for g, p in shapes.items():
         want = sum(abs(area2(r)) / 2 * (1 if k == 0 else -1) for poly in p for k, r in enumerate(poly))
         assert areas[g][0] == pytest.approx(want) and areas[g][1] == pytest.approx(sum(np.hypot(a[0] - b[0], a[1] - b[1]) for a, b in sides_of(p)))
+
+
+def test_rounds_send_no_sides_to_the_driver(spark, monkeypatch):
+    """Small files of many sides were broadcast in every round."""
+    plans = []
+    keep = boundaries.written
+    monkeypatch.setattr(boundaries, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    ring = lambda x: [[[(x, 0.0), (x + 1, 0.0), (x + 1, 1.0), (x, 1.0)]]]
+    units = spark.createDataFrame([(1, ring(float(x))) for x in range(6)], "district int, polygons array<array<array<struct<x:double,y:double>>>>")
+    t = boundaries.traced(boundaries.outlines(units, 0.25, 8.0))
+    plans.append(t._jdf.queryExecution().executedPlan().toString())
+    assert t.count() == 14 and len(plans) > 4 and not any("Broadcast" in p for p in plans)
