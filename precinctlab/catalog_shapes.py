@@ -90,7 +90,8 @@ def _tracts(s, d):
     path = scratch(s, "tracts")
     shapefile.register(s)
     p = parcels(s, d).select(F.col("geoid").alias("GEOID"), F.when(F.col("idx") % 3 > 0, (F.col("idx") * 10).cast("long")).alias("ALAND"), (F.col("idx") % 17).cast("long").alias("AWATER"), "polygons")
-    p.write.format("shapefile").mode("append").save(path)
+    # a table of few file splits is written by all cores
+    p.repartition(s.sparkContext.defaultParallelism, "GEOID").write.format("shapefile").mode("append").save(path)
     return measured(shapefile.tracts(s, path), "aland", "awater", "population")
 
 

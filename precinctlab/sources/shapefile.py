@@ -23,11 +23,13 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Fixed values of the format.
 FILE_CODE, FORMAT_VERSION = 9994, 1000
@@ -39,6 +41,9 @@ POINT = T.StructType().add("x", T.DoubleType()).add("y", T.DoubleType())
 POLYGONS = T.ArrayType(T.ArrayType(T.ArrayType(POINT)))
 #: Records of a partition, and rows of a written file.
 RANGE = 20_000
+#: Bytes of records that a task decodes at once.
+BLOCK = 16 << 20
+ARROW_POLYGONS = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
 
 
 def signed_area(ring: np.ndarray) -> float:
@@ -56,50 +61,144 @@ def inside(ring: np.ndarray, p: np.ndarray) -> bool:
     return bool((p[0] < a[:, 0] + (p[1] - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])).sum() % 2)
 
 
-def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Polygons (outer ring, holes) of open rings; a hole without a ring around it becomes a polygon of its own."""
+def nested_places(rings: list[np.ndarray]) -> list[list[int]]:
+    """Places of the polygons' rings (outer ring, holes) among open rings; a hole without a ring around it becomes a polygon of its own."""
     areas = [signed_area(r) for r in rings]
     outer = sorted((i for i, a in enumerate(areas) if a < 0), key=lambda i: -areas[i])
-    found = {i: [rings[i]] for i in sorted(outer)}
+    found = {i: [i] for i in sorted(outer)}
     for i, a in enumerate(areas):
         if a > 0:
             middle = (rings[i][0] + rings[i][1]) / 2  # no other ring passes through the middle of a side
             home = next((o for o in outer if inside(rings[o], middle)), None)
             if home is None:
-                found[i] = [rings[i]]
+                found[i] = [i]
             else:
-                found[home].append(rings[i])
+                found[home].append(i)
     return list(found.values())
 
 
+def nested(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    return [[rings[i] for i in p] for p in nested_places(rings)]
+
+
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... of each group of the given sizes, one after the other."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _values(data: np.ndarray, at: np.ndarray, kind: str) -> np.ndarray:
+    """Values that begin at any bytes."""
+    return np.ascontiguousarray(data[at[:, None] + np.arange(np.dtype(kind).itemsize)]).view(kind).ravel()
+
+
+def _put(data: np.ndarray, at: np.ndarray, values: np.ndarray, kind: str) -> None:
+    raw = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(at), -1)
+    data[at[:, None] + np.arange(raw.shape[1])] = raw
+
+
+def _areas(x: np.ndarray, y: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Twice the areas of open rings of three points or more, which stand in x and y from ``first`` on."""
+    own = np.repeat(first, size)
+    place = _within(size)
+    here = own + place
+    after = own + np.where(place + 1 < np.repeat(size, size), place + 1, 0)
+    cross = (x[here] - x[own]) * (y[after] - y[own]) - (x[after] - x[own]) * (y[here] - y[own])
+    return np.add.reduceat(cross, np.cumsum(size) - size) if len(size) else np.zeros(0)
+
+
+def decode_shapes(data: np.ndarray, at: np.ndarray, size: np.ndarray, number: np.ndarray) -> pa.Array:
+    """Polygons of the records whose contents, of the given sizes, begin at the given bytes."""
+
+    def broken(bad, why):
+        for i in np.flatnonzero(bad)[:1]:
+            raise ValueError(f"record {number[i]}: {why}")
+
+    broken(size < 4, "is cut short")
+    kind = _values(data, at, "<i4")
+    for i in np.flatnonzero(~np.isin(kind, (NULL_SHAPE, POLYGON, POLYGON_Z, POLYGON_M)))[:1]:
+        raise ValueError(f"record {number[i]}: shape type {kind[i]} is no polygon")
+    some = kind != NULL_SHAPE
+    broken(some & (size < 44), "is cut short")
+    n_parts, n_points = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    n_parts[some], n_points[some] = _values(data, at[some] + 36, "<i4"), _values(data, at[some] + 40, "<i4")
+    broken(some & ((n_parts < 0) | (n_points < 0) | (44 + 4 * n_parts + 16 * n_points > size)), "is cut short")
+    # rings of all records, one after the other
+    rec, place = np.repeat(np.arange(len(at)), n_parts), _within(n_parts)
+    start = np.where(place == 0, 0, _values(data, at[rec] + 44 + 4 * place, "<i4").astype(np.int64))
+    last = place + 1 == n_parts[rec]
+    length = np.where(last, n_points[rec], np.r_[start[1:], 0]) - start
+    broken(np.bincount(rec[(length < 0) | (start < 0)], minlength=len(at)) > 0, "has parts out of order")
+    points = np.repeat(at + 44 + 4 * n_parts, n_points) + 16 * _within(n_points)
+    x, y = _values(data, points, "<f8"), _values(data, points + 8, "<f8")
+    first = (np.cumsum(n_points) - n_points)[rec] + start
+    several = length > 1
+    end = first[several] + length[several] - 1
+    length[several] -= (x[first[several]] == x[end]) & (y[first[several]] == y[end])
+    keep = length >= 3
+    rec, first, length = rec[keep], first[keep], length[keep]
+    area = _areas(x, y, first, length)
+    # without a hole, each ring is a polygon; other records are nested one by one
+    use, polygon, role = area < 0, np.arange(len(rec)), np.zeros(len(rec), np.int64)
+    for i in np.unique(rec[area >= 0]):
+        lo, hi = np.searchsorted(rec, [i, i + 1])
+        use[lo:hi] = False
+        for p, members in enumerate(nested_places([np.stack([x[f : f + n], y[f : f + n]], 1) for f, n in zip(first[lo:hi], length[lo:hi])])):
+            for k, ring in enumerate(members):
+                use[lo + ring], polygon[lo + ring], role[lo + ring] = True, lo + p, k
+    order = np.lexsort((role[use], polygon[use]))
+    rec, first, length, polygon = (v[use][order] for v in (rec, first, length, polygon))
+    new = np.r_[True, polygon[1:] != polygon[:-1]] if len(rec) else np.zeros(0, bool)
+    offsets = lambda sizes: pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+    spots = np.repeat(first, length) + _within(length)
+    n_polygons = np.bincount(rec[new], minlength=len(at))
+    ring = pa.ListArray.from_arrays(offsets(length), pa.StructArray.from_arrays([pa.array(x[spots]), pa.array(y[spots])], ["x", "y"]))
+    polygons = pa.ListArray.from_arrays(offsets(np.diff(np.r_[np.flatnonzero(new), len(rec)])), ring)
+    return pa.ListArray.from_arrays(offsets(n_polygons), polygons, mask=pa.array(n_polygons == 0)).cast(ARROW_POLYGONS)
+
+
 def decode_shape(content: bytes, number: int) -> list[list[np.ndarray]] | None:
-    (kind,) = struct.unpack_from("<i", content)
-    if kind == NULL_SHAPE:
-        return None
-    if kind not in (POLYGON, POLYGON_Z, POLYGON_M):
-        raise ValueError(f"record {number}: shape type {kind} is no polygon")
-    n_parts, n_points = struct.unpack_from("<ii", content, 36)
-    starts = np.frombuffer(content, "<i4", n_parts, 44)
-    points = np.frombuffer(content, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)
-    rings = [r[:-1] if len(r) > 1 and (r[0] == r[-1]).all() else r for r in np.split(points, starts[1:])] if n_parts else []
-    return nested([r for r in rings if len(r) >= 3]) or None
-
-
-def encode_shape(polygons) -> tuple[bytes, tuple[float, float, float, float] | None]:
-    """Content of a record and its box, from polygons of (x, y) rows."""
-    rings = []
-    for polygon in polygons or []:
-        for i, ring in enumerate(polygon):
-            r = np.array([(p["x"], p["y"]) for p in ring], "<f8").reshape(-1, 2)
-            if len(r) >= 3:
-                r = r if (signed_area(r) < 0) == (i == 0) else r[::-1]
-                rings.append(np.concatenate([r, r[:1]]))
-    if not rings:
-        return struct.pack("<i", NULL_SHAPE), None
-    points = np.concatenate(rings)
-    box = (*points.min(axis=0).tolist(), *points.max(axis=0).tolist())
-    starts = np.cumsum([0, *map(len, rings)])[:-1].astype("<i4")
-    return struct.pack("<i4dii", POLYGON, *box, len(rings), len(points)) + starts.tobytes() + points.astype("<f8").tobytes(), box
+    found = decode_shapes(np.frombuffer(content, np.uint8), np.zeros(1, np.int64), np.array([len(content)]), np.array([number]))[0].as_py()
+    return found and [[np.array([(q["x"], q["y"]) for q in r]) for r in p] for p in found]
+
+
+def encode_shapes(polygons: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Contents of records one after the other, their sizes, boxes (x, y least, x, y greatest) and which have one."""
+    sizes = lambda a: a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    by_record = sizes(polygons)
+    whole = polygons.flatten()
+    by_polygon = sizes(whole)
+    rings = whole.flatten()
+    length, point = sizes(rings), rings.flatten()
+    x, y = (point.field(i) for i in range(2))
+    if point.null_count or x.null_count or y.null_count:
+        raise ValueError("a point without coordinates")
+    x, y = x.to_numpy(), y.to_numpy()
+    rec = np.repeat(np.repeat(np.arange(len(polygons)), by_record), by_polygon)
+    outer, first, keep = _within(by_polygon) == 0, np.cumsum(length) - length, length >= 3
+    rec, outer, first, length = (v[keep] for v in (rec, outer, first, length))
+    forth = (_areas(x, y, first, length) < 0) == outer
+    # closed rings, turned where they run the wrong way
+    place = _within(length + 1)
+    n = np.repeat(length, length + 1)
+    place = np.where(place == n, 0, place)
+    spots = np.repeat(first, length + 1) + np.where(np.repeat(forth, length + 1), place, n - 1 - place)
+    x, y = x[spots], y[spots]
+    n_rings = np.bincount(rec, minlength=len(polygons))
+    n_points = np.bincount(rec, length + 1, len(polygons)).astype(np.int64)
+    some = n_rings > 0
+    size = np.where(some, 44 + 4 * n_rings + 16 * n_points, 4)
+    at, data = np.cumsum(size) - size, np.zeros(size.sum(), np.uint8)
+    boxes = np.zeros((len(polygons), 4))
+    begin = (np.cumsum(n_points) - n_points)[some]
+    if len(begin):
+        boxes[some] = np.stack([np.minimum.reduceat(x, begin), np.minimum.reduceat(y, begin), np.maximum.reduceat(x, begin), np.maximum.reduceat(y, begin)], 1)
+    _put(data, at[some], np.full(some.sum(), POLYGON), "<i4")
+    _put(data, at[some] + 4, boxes[some], "<f8")
+    _put(data, at[some] + 36, np.stack([n_rings[some], n_points[some]], 1), "<i4")
+    starts = np.cumsum(length + 1) - (length + 1)
+    _put(data, at[rec] + 44 + 4 * _within(n_rings), starts - (np.cumsum(n_points) - n_points)[rec], "<i4")
+    _put(data, np.repeat(at + 44 + 4 * n_rings, n_points) + 16 * _within(n_points), np.stack([x, y], 1), "<f8")
+    return data, size, boxes, some
 
 
 @dataclass
@@ -116,8 +215,7 @@ class Field:
             return T.LongType() if self.kind == "N" and not self.decimals and self.length <= 20 else T.DoubleType()
         return {"L": T.BooleanType(), "D": T.DateType()}.get(self.kind, T.StringType())
 
-    def read(self, row: bytes, encoding: str):
-        raw = row[self.at : self.at + self.length]
+    def read(self, raw: bytes, encoding: str):
         text = raw.decode(encoding, "replace").strip(" \0")
         if self.kind in "NF":
             return None if not text or text[0] == "*" else int(text) if self.type == T.LongType() else float(text)
@@ -206,20 +304,32 @@ class Reader(DataSourceReader):
         encoding = files.encoding(part.shape)
         n = part.last - part.first
         index = np.frombuffer(files.read(files.beside(part.shape, ".shx"), HEADER + 8 * part.first, 8 * n), ">i4").reshape(-1, 2).astype(np.int64) * 2
-        rows = files.read(files.beside(part.shape, ".dbf"), start + width * part.first, width * n)
+        rows = np.frombuffer(files.read(files.beside(part.shape, ".dbf"), start + width * part.first, width * n), np.uint8).reshape(n, width)
+        there = np.flatnonzero(rows[:, 0] != ord("*"))
+        at, size, rows = index[there, 0] + 8, index[there, 1], rows[there]
         known = {f.name.lower(): f for f in fields}
-        wanted = [known.get(c.lower()) for c in self.schema.names]
-        with files.fs.open_input_file(part.shape) as f:
-            for i, (at, size) in enumerate(index.tolist()):
-                row = rows[i * width : (i + 1) * width]
-                if row[:1] == b"*":
-                    continue
-                content = f.read_at(size, at + 8)
-                if len(content) < size:
-                    raise ValueError(f"{part.shape} is cut short")
-                polygons = decode_shape(content, part.first + i + 1)
-                shape = polygons and [[[(x, y) for x, y in r.tolist()] for r in p] for p in polygons]
-                yield tuple(shape if c.lower() == "polygons" else f and f.read(row, encoding) for c, f in zip(self.schema.names, wanted))
+        types = [to_arrow_type(f.dataType) for f in self.schema.fields]
+        block = np.cumsum(size + 8) // BLOCK
+        for k in np.unique(block):
+            lo, hi = np.searchsorted(block, [k, k + 1])
+            a, own = at[lo:hi], size[lo:hi]
+            if a.max(initial=0) + own.max(initial=0) - a.min() > 2 * BLOCK + 2 * own.sum():  # far apart: each by itself
+                data = b"".join(files.read(part.shape, int(x), int(y)) for x, y in zip(a, own))
+                a = np.cumsum(own) - own
+            else:
+                begin = int(a.min())
+                data = files.read(part.shape, begin, int((a + own).max()) - begin)
+                a = a - begin
+            columns = []
+            for c, kind in zip(self.schema.names, types):
+                if c.lower() == "polygons":
+                    columns.append(decode_shapes(np.frombuffer(data, np.uint8), a, own, part.first + 1 + there[lo:hi]).cast(kind))
+                elif f := known.get(c.lower()):
+                    raw = rows[lo:hi, f.at : f.at + f.length].tobytes()
+                    columns.append(pa.array([f.read(raw[i : i + f.length], encoding) for i in range(0, len(raw), f.length)], kind))
+                else:
+                    columns.append(pa.nulls(hi - lo, kind))
+            yield pa.RecordBatch.from_arrays(columns, names=self.schema.names)
 
 
 @dataclass
@@ -227,49 +337,51 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     """Each task writes unfinished files, one per ``RANGE`` rows, which the commit renames."""
 
     def __init__(self, path: str, schema: T.StructType, overwrite: bool):
         self.path, self.schema, self.overwrite = path, schema, overwrite
 
-    def write(self, rows) -> Written:
-        files, names, held = Files(self.path), [], []
-        for row in rows:
-            held.append(row)
-            if len(held) == RANGE:
-                names.append(self._file(files, held))
-                held = []
-        if held:
-            names.append(self._file(files, held))
+    def write(self, batches) -> Written:
+        files, names, held, n = Files(self.path), [], [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n >= RANGE:
+                t = pa.Table.from_batches(held)
+                names.append(self._file(files, t.slice(0, RANGE)))
+                held, n = t.slice(RANGE).to_batches(), n - RANGE
+        if n:
+            names.append(self._file(files, pa.Table.from_batches(held)))
         return Written(names)
 
-    def _file(self, files: Files, rows: list) -> str:
+    def _file(self, files: Files, rows: pa.Table) -> str:
         name = f"part-{uuid.uuid4().hex}"
-        shapes, index, at, boxes = [], [], HEADER // 2, []
-        for i, row in enumerate(rows):
-            content, box = encode_shape(row["polygons"])
-            index.append(struct.pack(">ii", at, len(content) // 2))
-            shapes.append(struct.pack(">ii", i + 1, len(content) // 2) + content)
-            at += 4 + len(content) // 2
-            boxes += [box] if box else []
+        content, size, boxes, some = encode_shapes(rows["polygons"].cast(ARROW_POLYGONS).combine_chunks())
+        at = HEADER + np.cumsum(size + 8) - (size + 8)
+        shapes = np.zeros((size + 8).sum(), np.uint8)
+        _put(shapes, at - HEADER, np.stack([np.arange(1, len(size) + 1), size // 2], 1), ">i4")
+        shapes[np.repeat(at - HEADER + 8, size) + _within(size)] = content
+        index = np.stack([at // 2, size // 2], 1).astype(">i4").tobytes()
+        boxes = boxes[some].tolist()
         b = np.array(boxes or [(0.0,) * 4])
         box = (*b[:, :2].min(axis=0).tolist(), *b[:, 2:].max(axis=0).tolist(), 0.0, 0.0, 0.0, 0.0)
         head = lambda words: struct.pack(">7i", FILE_CODE, 0, 0, 0, 0, 0, words) + struct.pack("<ii8d", FORMAT_VERSION, POLYGON, *box)
-        parts = {".shp": [head(at), *shapes], ".shx": [head(HEADER // 2 + 4 * len(rows)), *index], ".dbf": [self._table(rows)], ".cpg": [b"UTF-8"]}
+        parts = {".shp": [head((HEADER + len(shapes)) // 2), shapes.tobytes()], ".shx": [head(HEADER // 2 + 4 * len(size)), index], ".dbf": [self._table(rows)], ".cpg": [b"UTF-8"]}
         files.fs.create_dir(files.path, recursive=True)
         for ending, content in parts.items():
             with files.fs.open_output_stream(f"{files.path}/_{name}{ending}") as f:
                 f.write(b"".join(content))
         return name
 
-    def _table(self, rows: list) -> bytes:
+    def _table(self, rows: pa.Table) -> bytes:
         columns = [f for f in self.schema.fields if f.name != "polygons"]
         cells, heads = [], []
         for f in columns:
             kind = {T.LongType: "N", T.IntegerType: "N", T.DoubleType: "F", T.BooleanType: "L", T.DateType: "D"}.get(type(f.dataType), "C")
             say = {"N": str, "F": lambda v: f"{v:.17g}", "L": lambda v: "T" if v else "F", "D": lambda v: v.strftime("%Y%m%d"), "C": str}[kind]
-            raw = [b"" if r[f.name] is None else say(r[f.name]).encode() for r in rows]
+            raw = [b"" if v is None else say(v).encode() for v in rows[f.name].to_pylist()]
             width = {"N": 20, "F": 25, "L": 1, "D": 8, "C": max([1, *map(len, raw)])}[kind]
             if width > 254 or len(f.name) > 10:
                 raise ValueError(f"{f.name}: names hold 10 characters, texts 254 bytes")

@@ -7,6 +7,7 @@ from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from precinctlab.functions import geometry
@@ -284,3 +285,36 @@ def test_rounds_send_no_sides_to_the_driver(spark, monkeypatch):
     t = boundaries.traced(boundaries.outlines(units, 0.25, 8.0))
     plans.append(t._jdf.queryExecution().executedPlan().toString())
     assert t.count() == 14 and len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_shapes_by_the_block():
+    """Records were encoded and decoded one by one; blocks of them give each record's own bytes and polygons."""
+    r = random.Random(4)
+    ring = lambda n: [{"x": r.random(), "y": r.random()} for _ in range(n)]
+    square = lambda x, y, w: [{"x": float(a), "y": float(b)} for a, b in box(x, y, x + w, y + w)]
+    table = [None, [], [[ring(2)]], [[square(0, 0, 9), square(1, 1, 2), square(5, 5, 2)], [square(20, 0, 3)[::-1]]], [[square(0, 0, 4)]], [[[]], [ring(5)]], *([[ring(r.randint(3, 9))] for _ in range(r.randint(1, 3))] for _ in range(30))]
+
+    def content(polygons):
+        rings = []
+        for polygon in polygons or []:
+            for i, x in enumerate(polygon):
+                p = np.array([(q["x"], q["y"]) for q in x]).reshape(-1, 2)
+                if len(p) >= 3:
+                    p = p if (shapefile.signed_area(p) < 0) == (i == 0) else p[::-1]
+                    rings.append(np.concatenate([p, p[:1]]))
+        if not rings:
+            return struct.pack("<i", 0)
+        points = np.concatenate(rings)
+        starts = np.cumsum([0, *map(len, rings)])[:-1].astype("<i4")
+        return struct.pack("<i4dii", 5, *points.min(axis=0), *points.max(axis=0), len(rings), len(points)) + starts.tobytes() + points.tobytes()
+
+    data, size, boxes, some = shapefile.encode_shapes(pa.array(table, shapefile.ARROW_POLYGONS))
+    want = [content(x) for x in table]
+    assert data.tobytes() == b"".join(want) and size.tolist() == [len(x) for x in want] and some.tolist() == [len(x) > 4 for x in want]
+    back = shapefile.decode_shapes(data, np.cumsum(size) - size, size, np.arange(len(size))).to_pylist()
+    tuples = lambda polygons: polygons and [[[(q["x"], q["y"]) for q in x] for x in p] for p in polygons]
+    for got, x in zip(back, want):
+        n_parts, n_points = struct.unpack_from("<ii", x, 36) if len(x) > 4 else (0, 0)
+        points = np.frombuffer(x, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2) if n_parts else np.zeros((0, 2))
+        rings = [p[:-1] for p in np.split(points, np.frombuffer(x, "<i4", n_parts, 44)[1:])] if n_parts else []
+        assert (tuples(got) or None) == ([[[tuple(q) for q in p.tolist()] for p in polygon] for polygon in shapefile.nested(rings)] or None)
