@@ -577,3 +577,14 @@ def test_texts_of_pairs_go_in_turns(spark, monkeypatch):
     want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert 0 < len(want) < len(pairs) and sorted(map(tuple, got.collect())) == sorted(want)
     assert len(turns) == len(pairs) / (simhash.TURN * len(texts))
+
+
+def test_pairs_of_seeds_go_in_turns(spark, monkeypatch):
+    """The last round's pairs of seeds, all at once, took more disk than the check allows."""
+    left = spark.createDataFrame([(h, t, 8 * h, 5, t) for h in range(6) for t in range(20)], "h long, t long, place int, span int, c long")
+    turns = []
+    monkeypatch.setattr(passage_chains, "FEW_SEEDS", 1)
+    monkeypatch.setattr(passage_chains, "cut", lambda df: turns.append(df.cache()) or turns[-1])
+    got = sorted(map(tuple, passage_chains._all_met(left).collect()))
+    assert got == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+    assert len(turns) == 3 and all(x.count() < len(got) for x in turns)
