@@ -588,3 +588,45 @@ def test_pairs_of_seeds_go_in_turns(spark, monkeypatch):
     got = sorted(map(tuple, passage_chains._all_met(left).collect()))
     assert got == [(a, b) for a in range(20) for b in range(a + 1, 20)]
     assert len(turns) == 3 and all(x.count() < len(got) for x in turns)
+
+
+def test_every_pair_of_one_class_comes(spark):
+    """Texts that share a passage came as a pair only where nothing else linked their classes; some texts here repeat their own strings, too."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(5))
+    texts, base = [], [word() for _ in range(70)]
+    for i in range(14):
+        x = [word() if r.random() < 0.05 else w for w in base]
+        x = x[: 20 + 5 * i] if i % 3 == 0 else x[i:]
+        x = [*x, *(word() for _ in range(9)), *x[: 7 * (i % 4)], *(word() for _ in range(4)), *x[3 : 3 * (i % 5)]]
+        texts.append(" ".join(x))
+    read = [passage_chains.Text(t.encode()) for t in texts]
+    spans = {(i, j): {p for c in passage_chains.chains(passage_chains.matches(read[i].places(), read[j])) for p in passage_chains.passages(c, read[i], read[j])} for i in range(14) for j in range(14) if i != j}
+    want = {frozenset(k) for k, p in spans.items() if p}
+    got = passage_chains.shared_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(want) > 40 and {frozenset((x.doc_id, x.other_id)) for x in got} == want
+    assert len({x.class_id for x in got}) == 1
+    assert all((x.start, x.end, x.other_start, x.other_end, x.n_equal) in spans[x.doc_id, x.other_id] for x in got)
+
+
+def test_runs_of_seeds_take_two_rows(spark):
+    """Of seeds in a row in both texts the first and the last make rows of a pair, except beside repeated ones."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(x) for x in (words, ["x", *words, "y"], [*words[:30], "z", *words[30:]], [*words, *words[5:11]])]
+    table = pa.table({"t": list(range(4)), "text": [t.encode() for t in texts]})
+    keys = pa.table({"keys": pa.array([], pa.binary())})
+    rows = passage_chains._shared_seeds(64)((0,), table, keys).to_pylist()
+    at = {(x["t"], x["h"]): x for x in rows}
+    edges = Counter()
+    for x in rows:
+        for t in range(x["t"] + 1, 4):
+            y = at.get((t, x["h"]))
+            if y:
+                begins, ends = (x[c] == 0 or x[c] != y[c] for c in ("before", "after"))
+                edges[x["t"], t] += begins or ends
+    assert edges[0, 1] == 2 and edges[0, 2] == 4 and edges[1, 2] == 4
+    assert 4 <= edges[0, 3] <= 8  # two strings come twice, with neighbours on both sides
+    cols = "h long, t long, place int, span int, before long, after long"
+    seeds = spark.createDataFrame([tuple(x[c.split()[0]] for c in cols.split(", ")) for x in rows], cols)
+    plain = passage_chains._all_met(seeds.select("h", "t", "place", "span"))
+    assert sorted(map(tuple, passage_chains._all_met(seeds).collect())) == sorted(map(tuple, plain.collect())) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
