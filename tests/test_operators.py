@@ -1,6 +1,7 @@
 """Small fixtures for the traps, and all registered SQL at the smallest scale."""
 
 import math
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -199,3 +200,26 @@ def test_components_shrink(spark, monkeypatch):
     assert got == {f"{i:04}": "0000" if i <= 120 else "0121" if i <= 200 else "0201" for i in range(202)}
     # full tables in each of ten rounds were some 2,000 rows
     assert sum(rows) < 1600
+
+
+def test_units_are_not_broadcast(spark, monkeypatch):
+    """Tables of units are small as files; as broadcasts their rows passed whole through the driver, which failed at 60 x sf0.1."""
+    from precinctlab.operators import graph, spatial
+    from precinctlab.plans import adapters
+
+    plans = []
+    note = lambda f: lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df)
+    monkeypatch.setattr(graph, "written", note(graph.written))
+    monkeypatch.setattr(spatial, "cut", note(spatial.cut))
+    points = spark.createDataFrame([(f"01{i % 2:03d}{i:06d}", float(i), 0.0) for i in range(9)], "geoid string, x double, y double")
+    at = points.select("geoid").collect()
+    edges = spark.createDataFrame([(at[i][0], at[i + 2][0], 1.0) for i in (0, 2, 4)], "u string, v string, w double")
+    small = [graph.written(t) for t in (points, edges)]
+    found = graph.bridges(small[1], small[0], 2.0)
+    assert {(r.u, r.v) for r in found.collect()} == {("01000000006", "01000000008"), ("01000000000", "01001000001"), ("01000000002", "01001000003"), ("01000000004", "01001000005"), ("01000000006", "01001000007")}
+    lattice = adapters.edges(spark, "/root/testdata/sf0.001")
+    for df in (lattice, found):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in p for p in plans)
+    for p in plans:  # nations and the best of each district are few rows
+        assert not [x for x in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p) if not x.startswith(("c_nationkey", "district", "county"))]
