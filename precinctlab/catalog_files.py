@@ -124,12 +124,8 @@ def _placeholders(s, d):
 @query("adjacency_file_roundtrip", """x AS (SELECT geoid, substr(geoid, 1, 2) AS graph, row_number() OVER (PARTITION BY substr(geoid, 1, 2) ORDER BY geoid) - 1 AS n FROM unit)
 SELECT p.graph, least(p.n, q.n) AS u, greatest(p.n, q.n) AS v, w FROM edge e JOIN x p ON p.geoid = e.u JOIN x q ON q.geoid = e.v WHERE p.graph = q.graph""")
 def _adjacency(s, d):
-    from pyspark.sql import Window
-
-    units = a.units(s, d).select("geoid", F.col("state").alias("graph"), F.col("pop").alias("weight"), (F.row_number().over(Window.partitionBy("state").orderBy("geoid")) - 1).alias("vertex"))
-    end = lambda c, n: units.select(F.col("geoid").alias(c), F.col("graph").alias(f"{n}g"), F.col("vertex").alias(n))
-    e = a.edges(s, d).withColumnsRenamed({"u": "gu", "v": "gv"}).join(end("gu", "u"), "gu").join(end("gv", "v"), "gv").where("ug = vg").select(F.col("ug").alias("graph"), "u", "v", "w")
-    return binary.graph_edges(binary.graph_files(units.select("graph", "vertex", "weight"), e))
+    v, e = a.state_graphs(s, d)
+    return binary.graph_edges(binary.graph_files(v.select("graph", "vertex", "weight"), e))
 
 
 @query("wkb_roundtrip", "SELECT geoid, CAST((idx % 4 + 1) * (idx % 6 + 1) AS DOUBLE) AS area, 4 AS n_points FROM unit")
