@@ -630,3 +630,19 @@ def test_runs_of_seeds_take_two_rows(spark):
     seeds = spark.createDataFrame([tuple(x[c.split()[0]] for c in cols.split(", ")) for x in rows], cols)
     plain = passage_chains._all_met(seeds.select("h", "t", "place", "span"))
     assert sorted(map(tuple, passage_chains._all_met(seeds).collect())) == sorted(map(tuple, plain.collect())) == [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+
+def test_links_of_near_copies_come_by_blocks(spark, monkeypatch):
+    """A row for each link of 200 near copies made 19,900 rows, and the lines lay in as many sources as there are."""
+    r = random.Random(21)
+    base = "".join(r.choice("abcdefgh ") for _ in range(120))
+    lines = [base, *(base[:k] + "X" + base[k + 1 :] for k in range(0, 100)), *(base[:k] + "YZ" + base[k:] for k in range(1, 100))]
+    lids = list(range(len(lines)))
+    placed = pa.Table.from_batches(line_join._placed(50)(pa.table({"lid": lids, "line": lines}).to_batches()))
+    assert Counter(placed["src"].to_pylist()).most_common(1)[0][1] > 100 and placed["line"].to_pylist() == lines
+    made, cut = [], line_join.cut
+    monkeypatch.setattr(line_join, "cut", lambda df: made.append(cut(df)) or made[-1])
+    got = line_join.line_classes(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    want = {x: sum(line_join.within(x, y, line_join.edits(min(len(x), len(y)))) for y in lines) - 1 for x in lines}
+    assert sorted(x.n_links for x in got) == sorted(want.values()) and len({x.class_id for x in got}) == 1
+    assert sum(t.count() for t in made) < 1000 < sum(want.values()) / 2
